@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,7 +40,6 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
@@ -51,21 +51,35 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session without that setting gets a folder of its own.
     """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tideline-"))
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    return named or context.getCheckpointDir()
+        named = tempfile.mkdtemp(prefix="tideline-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def _stage_dir(spark: SparkSession) -> str:
+    return join_path(shared_dir(spark), "tideline-stage", spark.sparkContext.applicationId)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialises a DataFrame in reliable storage and drops its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes an intermediate result to the shared folder and reads it back without its lineage.
+
+    A lost executor costs a re-read, not a recomputation, and the planner sees the true size, so it
+    broadcasts what is small. All cuts of an application lie in one folder; see drop_cuts.
+    """
+    spark = df.sparkSession
+    path = join_path(_stage_dir(spark), uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Removes this application's cuts once nothing reads them any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stage_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def join_path(base: str, *parts: str) -> str:
