@@ -32,9 +32,13 @@ def origin_host(value: Column) -> Column:
     return F.coalesce(_bare(F.coalesce(_authority(text), bare)), F.lit(""))
 
 
+def allows_host(hosts: Column, host: Column) -> Column:
+    """Host among allow-list entries that went through domain()."""
+    return (host != "") & F.coalesce(F.array_contains(hosts, host), F.lit(False))
+
+
 def allows_origin(allowed: Column, origin: Column) -> Column:
-    host = origin_host(origin)
-    return (host != "") & F.coalesce(F.exists(allowed, lambda d: domain(d) == host), F.lit(False))
+    return allows_host(F.transform(allowed, domain), origin_host(origin))
 
 
 def ip_hash(forwarded_for: Column, real_ip: Column, peer: Column) -> Column:

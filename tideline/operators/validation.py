@@ -67,14 +67,15 @@ def batch_counts(events: DataFrame, batch: str = "batch_id", limit: int = vocab.
 
 def check_payload(events: DataFrame) -> DataFrame:
     """Adds `blocked_key` ('' when none) and `payload_issue`; properties are read before context."""
-    properties, context = F.to_json("properties"), F.to_json("context")
+    texts = events.withColumns({"_p": F.to_json("properties"), "_c": F.to_json("context")})
+    properties, context = F.col("_p"), F.col("_c")
     key = F.coalesce(
         F.nullif(pl.blocked_key(properties), F.lit("")),
         F.nullif(pl.blocked_key(context), F.lit("")),
         F.lit(""),
     )
     issue = F.coalesce(pl.limit_issue(properties, "properties"), pl.limit_issue(context, "context"))
-    return events.withColumns({"blocked_key": key, "payload_issue": issue})
+    return texts.withColumns({"blocked_key": key, "payload_issue": issue}).drop("_p", "_c")
 
 
 def payload_reason() -> Column:
@@ -96,8 +97,9 @@ def join_sites(events: DataFrame, sites: DataFrame) -> DataFrame:
         F.col("timezone"),
         F.col("zone"),
         F.struct(
-            "status", "tracking_enabled", "allowed_domains", "config_valid",
+            "status", "tracking_enabled", "config_valid",
             F.col("token_version").alias("site_token"),
+            F.transform("allowed_domains", net.domain).alias("hosts"),
         ).alias("_site"),
     )
     return events.join(site, text_or_empty(F.col("site_code")) == text_or_empty(site["_code"]), "left").drop("_code")
@@ -113,7 +115,7 @@ def site_reason() -> Column:
         .when(~F.coalesce(F.col("_site.tracking_enabled"), F.lit(False)), F.lit("tracking_disabled"))
         .when(web & (F.col("_site.site_token") != F.col("token_version")), F.lit("token_version_mismatch"))
         .when(
-            web & ~net.allows_origin(F.col("_site.allowed_domains"), F.col("origin")),
+            web & ~net.allows_host(F.col("_site.hosts"), net.origin_host(F.col("origin"))),
             F.lit("domain_not_allowed"),
         )
     )

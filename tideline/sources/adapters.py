@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.session import spread
+
 # --- site table: nation and region ------------------------------------------------------------
 
 SITES = """
@@ -162,7 +164,7 @@ def _as_instants(df: DataFrame) -> DataFrame:
 def raw_text(spark: SparkSession, sf_dir: str, repeats: bool = True) -> DataFrame:
     """Raw events with JSON text payloads."""
     template = RAW_EVENTS.replace("{repeats}", REPEATS if repeats else "")
-    return _as_instants(spark.sql(template, events=read(spark, sf_dir, "events")))
+    return _as_instants(spark.sql(template, events=spread(read(spark, sf_dir, "events"))))
 
 
 def raw(spark: SparkSession, sf_dir: str, repeats: bool = True) -> DataFrame:
