@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline import vocab
+from tideline import schemas, vocab
 from tideline.session import cut
 
 KEY = ["context_key", "context_version"]
@@ -262,7 +262,16 @@ def merge_unregistered(stored: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def refresh(spark: SparkSession, registry: DataFrame | None, tables: tuple, at) -> tuple[tuple, str]:
+def empty_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Revisions, definitions and entries before the first publication."""
+    return (
+        spark.createDataFrame([], schemas.REVISIONS),
+        spark.createDataFrame([], schemas.DEFINITIONS),
+        spark.createDataFrame([], schemas.ENTRIES),
+    )
+
+
+def refresh(registry: DataFrame | None, tables: tuple, at) -> tuple[tuple, str]:
     """One load of the registry source against the published tables.
 
     Returns the tables and what happened: loaded, invalid, rejected or source_error. Whatever goes

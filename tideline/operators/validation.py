@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline import vocab
 from tideline.functions import net, payload as pl
+from tideline.functions.once import once
 from tideline.functions.text import is_blank, is_required_text, text_or_empty
 
 
@@ -27,8 +28,7 @@ def has_required_fields() -> Column:
         & F.col("event_time").isNotNull()
     )
     kind = source(F.col("event_source"))
-    ok = F.when(kind == "web", base & web_fields()).when(kind == "server", base)
-    return F.coalesce(ok, F.lit(False))
+    return F.coalesce(base & ((kind == "server") | ((kind == "web") & web_fields())), F.lit(False))
 
 
 def web_fields() -> Column:
@@ -67,7 +67,7 @@ def batch_counts(events: DataFrame, batch: str = "batch_id", limit: int = vocab.
 
 def check_payload(events: DataFrame) -> DataFrame:
     """Adds `blocked_key` ('' when none) and `payload_issue`; properties are read before context."""
-    texts = events.withColumns({"_p": F.to_json("properties"), "_c": F.to_json("context")})
+    texts = once(events, {"_p": F.to_json("properties"), "_c": F.to_json("context")})
     properties, context = F.col("_p"), F.col("_c")
     key = F.coalesce(
         F.nullif(pl.blocked_key(properties), F.lit("")),
@@ -75,7 +75,7 @@ def check_payload(events: DataFrame) -> DataFrame:
         F.lit(""),
     )
     issue = F.coalesce(pl.limit_issue(properties, "properties"), pl.limit_issue(context, "context"))
-    return texts.withColumns({"blocked_key": key, "payload_issue": issue}).drop("_p", "_c")
+    return once(texts, {"blocked_key": key, "payload_issue": issue}).drop("_p", "_c")
 
 
 def payload_reason() -> Column:

@@ -46,3 +46,15 @@ RUN = """
 CHECKPOINT = """
     projection_name string, projection_version int, last_updated_at timestamp, last_id string
 """
+
+REVISIONS = """
+    schema_version int, registry_version bigint, registry_revision string, payload_checksum string,
+    status string, activated_at timestamp
+"""
+
+DEFINITIONS = """
+    context_key string, context_version int, context_family string, parent_context_key string,
+    parent_context_version int
+"""
+
+ENTRIES = "registry_revision string, context_key string, context_version int, status string"

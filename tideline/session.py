@@ -18,6 +18,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # A repeated JSON key keeps its last value instead of failing the row.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Inferring constraints over projections with hundreds of payload expressions takes the optimizer
+    # minutes; filters that matter are written out.
+    "spark.sql.constraintPropagation.enabled": "false",
     # Replacing a daily table rewrites only the dates present in the output.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
