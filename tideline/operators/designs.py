@@ -62,24 +62,22 @@ def item_scores_by_level(scores: DataFrame, levels=LEVELS) -> DataFrame:
 def top_items_with_fallback(requests: DataFrame, leveled: DataFrame, limit: int, levels=LEVELS) -> DataFrame:
     """Per request (the exact context columns) the best items of the first level that has any.
 
-    One equi-join per level; the rank filter is pushed below the shuffle as a group limit.
+    Items are ranked once per level and context, so a request meets at most `limit` rows per level.
     """
     columns = list(levels[0][1])
-    parts = []
+    order = [F.col("score").desc(), F.col("last_event_time").desc(), F.col("item_id").asc()]
+    ranks = Window.partitionBy("level_rank", *columns).orderBy(*order)
+    best = leveled.withColumn("position", F.row_number().over(ranks)).where(F.col("position") <= limit)
+    values = ["item_id", "score", "event_count", "last_event_time", "position", "level_rank", "level"]
+    found = None
     for position, (_, names) in enumerate(levels):
-        rows = leveled.where(F.col("level_rank") == position).select(
-            *names, "item_id", "score", "event_count", "last_event_time", "level_rank", "level"
-        )
-        parts.append(requests.join(rows, list(names)).select(*columns, "item_id", "score", "event_count", "last_event_time", "level_rank", "level"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+        rows = best.where(F.col("level_rank") == position).select(*names, *values)
+        part = requests.join(rows, list(names)).select(*columns, *values)
+        found = part if found is None else found.unionByName(part)
     first = found.groupBy(*columns).agg(F.min("level_rank").alias("_level"))
-    chosen = found.join(first, columns).where(F.col("level_rank") == F.col("_level"))
-    order = Window.partitionBy(*columns).orderBy(F.col("score").desc(), F.col("last_event_time").desc(), "item_id")
     return (
-        chosen.withColumn("position", F.row_number().over(order))
-        .where(F.col("position") <= limit)
+        found.join(first, columns)
+        .where(F.col("level_rank") == F.col("_level"))
         .drop("level_rank", "_level")
     )
 

@@ -125,6 +125,15 @@ def fold(changes: DataFrame) -> DataFrame:
     )
 
 
+def merge(*parts: DataFrame) -> DataFrame:
+    """Folds several dimensions, such as the stored one and those of new batches, into one."""
+    changes = [changes_from_dimension(p) for p in parts]
+    whole = changes[0]
+    for part in changes[1:]:
+        whole = whole.unionByName(part)
+    return fold(whole)
+
+
 def flag_ignored(rows: DataFrame, stored: DataFrame | None = None, bucket_seconds: int = 3600) -> DataFrame:
     """Marks lifecycle changes that were not newer than all earlier ones of their subject.
 

@@ -117,15 +117,13 @@ def envelopes(requests: DataFrame, results: DataFrame, statuses: DataFrame, ledg
         F.count_if(F.col("source_level") == "global").alias("global_rows"),
     )
     done = projections.last_completed(ledger).where(F.col("projection_version") == version)
-    # One row with the two run times: aggregates without keys always yield a row.
-    runs = done.agg(
-        F.max(F.when(F.col("projection_name") == vocab.GLOBAL_PROJECTION, F.col("computed_at"))).alias("_global"),
-        F.max(F.when(F.col("projection_name") == vocab.CONTEXT_PROJECTION, F.col("computed_at"))).alias("_context"),
-    ).withColumn("_one", F.lit(1))
+
+    def run_time(name: str) -> Column:
+        return done.where(F.col("projection_name") == name).select("computed_at").scalar()
+
     joined = (
         requests.select(*key)
-        .withColumn("_one", F.lit(1))
-        .join(runs, "_one")
+        .withColumns({"_global": run_time(vocab.GLOBAL_PROJECTION), "_context": run_time(vocab.CONTEXT_PROJECTION)})
         .join(statuses.select("context_key", "context_version", "resolution_status"), ["context_key", "context_version"], "left")
         .join(counts, key, "left")
         .fillna(0, ["context_rows", "global_rows"])
