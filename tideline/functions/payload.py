@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tideline import vocab
 from tideline.functions.text import text_or_empty, trimmed
 
+# Decimal numbers in text; suffixes that the JVM would also take do not count.
+NUMERIC = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))$"
 RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:\d{2})$"
 RFC3339_UTC = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]00:00)$"
 
@@ -35,11 +37,17 @@ def kind(value: Column) -> Column:
 
 
 def is_object(value: Column) -> Column:
-    return F.coalesce(kind(value).startswith("OBJECT"), F.lit(False))
+    """Any object casts to the struct without fields; that spares spelling out its schema."""
+    return F.try_variant_get(value, "$", "struct<>").isNotNull()
 
 
 def is_array(value: Column) -> Column:
-    return F.coalesce(kind(value).startswith("ARRAY"), F.lit(False))
+    return F.try_variant_get(value, "$", "array<variant>").isNotNull()
+
+
+def is_number(value: Column) -> Column:
+    name = kind(value)
+    return F.coalesce(name.isin("BIGINT", "DOUBLE") | name.startswith("DECIMAL"), F.lit(False))
 
 
 def is_string(value: Column) -> Column:
@@ -62,12 +70,9 @@ def as_pure_text(value: Column) -> Column:
 
 def as_number(value: Column) -> Column:
     """Number or numeric text as double; booleans and everything else NULL."""
-    return F.when(
-        kind(value).rlike("^(BIGINT|DOUBLE|DECIMAL.*|STRING)$"),
-        F.coalesce(
-            F.try_variant_get(value, "$", "double"),
-            trimmed(F.try_variant_get(value, "$", "string")).try_cast("double"),
-        ),
+    text = trimmed(F.try_variant_get(value, "$", "string"))
+    return F.when(is_number(value), F.try_variant_get(value, "$", "double")).when(
+        is_string(value) & text.rlike(NUMERIC), text.try_cast("double")
     )
 
 
@@ -96,9 +101,7 @@ def as_text_list(value: Column) -> Column:
 
 def as_positive_int(value: Column) -> Column:
     """Whole positive JSON number as int; numeric text does not count."""
-    number = F.when(
-        kind(value).rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"), F.try_variant_get(value, "$", "double")
-    )
+    number = F.when(is_number(value), F.try_variant_get(value, "$", "double"))
     return F.when((number > 0) & (number == F.floor(number)), number.cast("bigint").try_cast("int"))
 
 

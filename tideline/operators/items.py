@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline import vocab
 from tideline.functions import payload as pl
+from tideline.functions.once import once
 
 _TEXT = (
     "item_id", "variant_id", "sku", "item_type", "item_class_id", "surface", "search_term",
@@ -85,18 +86,27 @@ def key_fields(line_array: Column, properties: Column) -> Column:
     )
 
 
+_MEMBERS = (*_TEXT, "category_ids", *_INT, "visible_time_ms", "rendered_at", *_DECIMAL, "metadata")
+
+
+def _members(value: Column, names) -> Column:
+    """The named members of an object as a struct, read in one pass; absent ones are NULL."""
+    fields = ", ".join(f"{n}: variant" for n in names)
+    return F.try_variant_get(value, "$", f"struct<{fields}>")
+
+
 def item_rows(events: DataFrame) -> DataFrame:
     """One row per line, with the line's members over the event's and coerced to column types."""
     inherited = [c for c in _EVENT if c in events.columns]
-    exploded = with_lines(events).select(
-        *inherited, "properties", F.posexplode("lines").alias("line_index", "line")
+    listed = with_lines(events).select(
+        *inherited, "lines", _members(F.col("properties"), _MEMBERS).alias("_header")
     )
-    line, header = F.col("line"), F.col("properties")
-
-    def value(name):
-        return pl.inherited(line, header, name)
-
-    typed = exploded.select(
+    exploded = listed.select(*inherited, "_header", F.posexplode("lines").alias("line_index", "line"))
+    read = once(exploded, {"_line": _members(F.col("line"), _MEMBERS)})
+    # A null member of the line is a VARIANT null, not NULL, so it hides the header's.
+    merged = once(read, {n: F.coalesce(F.col(f"_line.{n}"), F.col(f"_header.{n}")) for n in _MEMBERS})
+    value = F.col
+    typed = merged.select(
         *inherited,
         "line_index",
         *[pl.as_text(value(n)).alias(n) for n in _TEXT],
@@ -109,9 +119,10 @@ def item_rows(events: DataFrame) -> DataFrame:
     )
     marked = typed.withColumn("missing_fields", missing_fields(F.col("event_name"), F.col))
     incomplete = F.size("missing_fields") > 0
-    flags = F.to_variant_object(
-        F.struct("missing_fields", F.lit(True).alias("incomplete_for_scoring"))
-    ).cast("map<string,variant>")
+    flags = F.create_map(
+        F.lit("missing_fields"), F.to_variant_object("missing_fields"),
+        F.lit("incomplete_for_scoring"), F.parse_json(F.lit("true")),
+    )
     kept = F.map_filter(
         F.parse_json("metadata").cast("map<string,variant>"),
         lambda k, _: ~k.isin("missing_fields", "incomplete_for_scoring"),
@@ -124,19 +135,20 @@ def item_rows(events: DataFrame) -> DataFrame:
 
 def order_rows(events: DataFrame) -> DataFrame:
     """One header per checkout or purchase; `properties.order` members go over the event's."""
+    names = (*_ORDER_TEXT, *_ORDER_AMOUNTS, "metadata")
+    inherited = [
+        c for c in ("event_id", "tenant_id", "site_id", "site_code", "event_name", "event_time") if c in events.columns
+    ]
     header = F.col("properties")
-    nested = pl.member(header, "$.order")
-    order = F.when(pl.is_object(nested), nested)
-    inherited = [c for c in ("event_id", "tenant_id", "site_id", "site_code", "event_name", "event_time") if c in events.columns]
-
-    def value(name):
-        return pl.inherited(order, header, name)
-
-    return events.where(F.col("event_name").isin(*vocab.ORDER_EVENTS)).select(
+    rows = events.where(F.col("event_name").isin(*vocab.ORDER_EVENTS)).select(
+        *inherited, _members(header, names).alias("_header"), _members(pl.member(header, "$.order"), names).alias("_order")
+    )
+    merged = once(rows, {n: F.coalesce(F.col(f"_order.{n}"), F.col(f"_header.{n}")) for n in names})
+    return merged.select(
         *inherited,
-        *[pl.as_text(value(n)).alias(n) for n in _ORDER_TEXT],
-        *[pl.as_number(value(n)).cast("decimal(18,4)").alias(n) for n in _ORDER_AMOUNTS],
-        pl.object_or_empty(value("metadata")).alias("metadata"),
+        *[pl.as_text(F.col(n)).alias(n) for n in _ORDER_TEXT],
+        *[pl.as_number(F.col(n)).cast("decimal(18,4)").alias(n) for n in _ORDER_AMOUNTS],
+        pl.object_or_empty(F.col("metadata")).alias("metadata"),
     )
 
 

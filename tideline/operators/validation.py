@@ -230,7 +230,7 @@ def sanitize_form(properties: Column) -> Column:
         & (
             k.isin("valid_fields", "invalid_fields", "field_errors")
             | (k.isin("form_id", "step_id") & pl.is_string(v))
-            | F.coalesce(pl.kind(v).rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"), F.lit(False))
+            | pl.is_number(v)
         ),
     )
     cleaned = F.transform_values(

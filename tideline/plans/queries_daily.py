@@ -69,7 +69,8 @@ def top_subjects_from_raw(spark, sf_dir):
     raw = adapters.raw(spark, sf_dir)
     messages = raw.select("stream_id", envelope.to_message(raw).alias("payload"))
     decoded = envelope.decode_messages(messages).where("not malformed")
-    valid = decoded.where(validation.has_required_fields())
+    # Decoded once; the search for first arrivals then reads three columns of it.
+    valid = cut(decoded.where(validation.has_required_fields()))
     order = F.struct("received_at", "event_id", "stream_id")
     fresh = dedup.flag_repeats(valid, ["event_id"], order).where("not repeat")
     placed = validation.join_sites(fresh, base.sites(spark, sf_dir))

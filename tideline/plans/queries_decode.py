@@ -33,7 +33,7 @@ _MESSAGES_SQL = _MESSAGES.format(events="events")
 
 
 def _messages(spark, sf_dir):
-    return spark.sql(_MESSAGES, events=adapters.read(spark, sf_dir, "events"))
+    return spark.sql(_MESSAGES, events=adapters.read_spread(spark, sf_dir, "events"))
 
 
 @query(
@@ -125,7 +125,7 @@ from (select *, unnest(case when n % 17 = 0 or n % 19 = 0 then [null] when n % 3
 )
 def public_events(spark, sf_dir):
     """Public request bodies split into events, with aliases, merges and routed extra members."""
-    requests = spark.sql(_REQUESTS, events=adapters.read(spark, sf_dir, "events")).select("request_id", "body")
+    requests = spark.sql(_REQUESTS, events=adapters.read_spread(spark, sf_dir, "events")).select("request_id", "body")
     rows = envelope.normalize_public(envelope.split_public(requests).drop("body"))
     return rows.select(
         "request_id", "event_index", "invalid_request", "event_id", "event_name", "url", "event_version",
@@ -220,7 +220,7 @@ with j as (
 
 
 def _server(spark, sf_dir):
-    requests = spark.sql(_SERVER, events=adapters.read(spark, sf_dir, "events")).select("request_id", "body")
+    requests = spark.sql(_SERVER, events=adapters.read_spread(spark, sf_dir, "events")).select("request_id", "body")
     return validation.accept_server_batches(envelope.decode_server(requests))
 
 
@@ -486,7 +486,7 @@ from events
 )
 def form_sanitizing(spark, sf_dir):
     """Form payloads reduced to their safe members."""
-    rows = spark.sql(_FORM, events=adapters.read(spark, sf_dir, "events"))
+    rows = spark.sql(_FORM, events=adapters.read_spread(spark, sf_dir, "events"))
     return rows.select("event_id", F.to_json(validation.sanitize_form(F.parse_json("body"))).alias("sanitized"))
 
 

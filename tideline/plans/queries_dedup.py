@@ -93,7 +93,7 @@ def _line_repeats(spark, sf_dir, name):
     keyed = events.select(
         *ORDER, F.explode(dedup.item_keys(F.col("event_name"), fields, F.col("session_id"))).alias("_key")
     )
-    flagged = dedup.flag_repeats(keyed, ["_key"], F.struct(*ORDER))
+    flagged = dedup.flag_repeats(cut(keyed), ["_key"], F.struct(*ORDER))
     # One repeated line is enough to drop its event.
     return flagged.groupBy("event_id").agg(F.bool_or("repeat").alias("repeat"), F.count(F.lit(1)).alias("keys"))
 

@@ -75,7 +75,7 @@ where event_name <> 'page_view' and (n % 3 <> 2 or n % 2 <> 0)
 )
 def single_items(spark, sf_dir):
     """Items given as one object or at the top level, and null members that hide the header's."""
-    rows = spark.sql(_SINGLE, lineitem=adapters.read(spark, sf_dir, "lineitem"))
+    rows = spark.sql(_SINGLE, lineitem=adapters.read_spread(spark, sf_dir, "lineitem"))
     found = items.item_rows(rows.withColumn("properties", F.parse_json("properties")))
     return found.select(
         "event_id", "event_name", "item_id", "surface", "sku", "unit_price", "position", "page",
@@ -188,7 +188,7 @@ from l
 )
 def logical_ids(spark, sf_dir):
     """Logical event ids and idempotency keys as browsers derive them."""
-    rows = spark.sql(_TRACKED, events=adapters.read(spark, sf_dir, "events")).withColumn("properties", F.parse_json("properties"))
+    rows = spark.sql(_TRACKED, events=adapters.read_spread(spark, sf_dir, "events")).withColumn("properties", F.parse_json("properties"))
     named = rows.withColumn("logical_event_id", client.logical_id())
     return named.select(
         "event_id", "logical_event_id", client.idempotency_id(F.col("logical_event_id")).alias("idempotency_key")

@@ -149,6 +149,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table ahead of costly per-row work."""
+    return spread(read(spark, sf_dir, name))
+
+
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(SITES, nation=read(spark, sf_dir, "nation"), region=read(spark, sf_dir, "region"))
     return rows.withColumn("allowed_domains", F.split("domains", ",")).drop("domains")
@@ -164,7 +169,7 @@ def _as_instants(df: DataFrame) -> DataFrame:
 def raw_text(spark: SparkSession, sf_dir: str, repeats: bool = True) -> DataFrame:
     """Raw events with JSON text payloads."""
     template = RAW_EVENTS.replace("{repeats}", REPEATS if repeats else "")
-    return _as_instants(spark.sql(template, events=spread(read(spark, sf_dir, "events"))))
+    return _as_instants(spark.sql(template, events=read_spread(spark, sf_dir, "events")))
 
 
 def raw(spark: SparkSession, sf_dir: str, repeats: bool = True) -> DataFrame:
