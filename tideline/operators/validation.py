@@ -9,6 +9,7 @@ from tideline import vocab
 from tideline.functions import net, payload as pl
 from tideline.functions.once import once
 from tideline.functions.text import is_blank, is_required_text, text_or_empty
+from tideline.session import cut
 
 
 def source(value: Column) -> Column:
@@ -198,8 +199,8 @@ def server_event_ok() -> Column:
 
 def accept_server_batches(events: DataFrame, request_id: str = "request_id", limit: int = vocab.MAX_BATCH_EVENTS) -> DataFrame:
     """Adds event_ok and batch_ok: one bad event, a strict-decode failure or a wrong batch size
-    rejects the whole request."""
-    checked = events.withColumn("event_ok", F.col("strict_ok") & server_event_ok())
+    rejects the whole request. Rows are decoded once; the verdicts read two columns of the cut."""
+    checked = cut(once(events, {"event_ok": F.col("strict_ok") & server_event_ok()}))
     verdict = checked.groupBy(F.col(request_id).alias("_request")).agg(
         (F.bool_and("event_ok") & (F.count(F.lit(1)) <= limit)).alias("batch_ok")
     )
