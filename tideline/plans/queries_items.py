@@ -151,6 +151,19 @@ def order_line_lookup(spark, sf_dir):
     return rows.select("event_id", "item_id", "order_line_id")
 
 
+@query(
+    "H9",
+    """
+select l_suppkey % 5 as run, count(*) as line_count from lineitem group by 1 having l_suppkey % 5 = 3
+""",
+)
+def ranking_run_lines(spark, sf_dir):
+    """Lines shown by one ranking run."""
+    lines = adapters.read(spark, sf_dir, "lineitem")
+    shown = lines.select(F.concat(F.lit("run-"), (F.col("l_suppkey") % 5).cast("string")).alias("ranking_run_id"), (F.col("l_suppkey") % 5).alias("run"))
+    return lookups.ranking_run(shown, "run-3").groupBy("run").agg(F.count(F.lit(1)).alias("line_count"))
+
+
 # --- client-side ids and sequences ------------------------------------------------------------
 
 _TRACKED = """
