@@ -22,11 +22,9 @@ def text_or_empty(value: Column) -> Column:
 
 
 def is_blank(value: Column) -> Column:
-    return text_or_empty(value) == ""
-
-
-def empty_to_null(value: Column) -> Column:
-    return F.nullif(value, F.lit(""))
+    """Whether nothing is left after trimming; text that starts with a plain mark is not trimmed."""
+    plain = F.coalesce(F.ascii(value), F.lit(0)).between(33, 126)
+    return ~plain & (text_or_empty(value) == "")
 
 
 def is_required_text(value: Column, limit: int = 255) -> Column:

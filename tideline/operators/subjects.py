@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tideline import vocab
 from tideline.functions import payload as pl
-from tideline.functions.text import is_required_text, text_or_empty, trimmed
+from tideline.functions.once import once
+from tideline.functions.text import is_required_text
 from tideline.functions.zones import local_date
 
 _SUBJECT = "struct<ord:int,is_object:boolean,subject_type:string,external_subject_id:string,relation:string>"
@@ -77,11 +78,21 @@ def _lifecycle(event_name: Column, value: Column):
 
 def subject_rows(events: DataFrame) -> DataFrame:
     """One row per subject of an event. Needs tenant_id, site_id, timezone and zone of the site."""
-    properties, context = F.col("properties"), F.col("context")
-    subjects = pl.member(properties, "$.subjects")
-    op_kind, op_id, op_ok = _operation(pl.member(properties, "$.operation"))
-    life = _lifecycle(F.col("event_name"), pl.member(properties, "$.lifecycle"))
-    key = pl.as_pure_text(pl.member(context, "$.context_key"))
+    events = once(
+        events,
+        {
+            "_subjects": pl.member(F.col("properties"), "$.subjects"),
+            "_operation": pl.member(F.col("properties"), "$.operation"),
+            "_lifecycle": pl.member(F.col("properties"), "$.lifecycle"),
+            "_context": F.try_variant_get(
+                "context", "$", "struct<context_key: variant, context_version: variant, claimed_context_family: variant>"
+            ),
+        },
+    )
+    subjects = F.col("_subjects")
+    op_kind, op_id, op_ok = _operation(F.col("_operation"))
+    life = _lifecycle(F.col("event_name"), F.col("_lifecycle"))
+    key = pl.as_pure_text(F.col("_context.context_key"))
     listed = events.withColumn(
         "_entries",
         F.when(pl.is_array(subjects), _entries(subjects)).when(
@@ -104,8 +115,8 @@ def subject_rows(events: DataFrame) -> DataFrame:
         op_ok.alias("_op_ok"),
         *[c.alias(n) for n, c in life.items()],
         key.alias("context_key"),
-        pl.as_positive_int(pl.member(context, "$.context_version")).alias("context_version"),
-        pl.as_pure_text(pl.member(context, "$.claimed_context_family")).alias("claimed_context_family"),
+        pl.as_positive_int(F.col("_context.context_version")).alias("context_version"),
+        pl.as_pure_text(F.col("_context.claimed_context_family")).alias("claimed_context_family"),
         local_date(F.col("event_time"), F.col("zone")).alias("_date"),
         F.explode(entries).alias("s"),
     )
@@ -222,7 +233,3 @@ def with_row_id(rows: DataFrame) -> DataFrame:
     return rows.withColumn(
         "row_id", F.concat_ws("#", F.col("event_id"), F.lpad(F.col("subject_ordinal").cast("string"), 6, "0"))
     )
-
-
-def blank_to_null(column: str) -> Column:
-    return F.nullif(text_or_empty(trimmed(F.col(column))), F.lit(""))

@@ -35,18 +35,12 @@ REGISTRY = f"""
     contexts array<struct<{', '.join(f.strip().replace(' ', ': ') for f in CONTEXT.split(','))}>>
 """
 
-SEMANTIC_RULE = "event_name string, window_ms bigint, fields array<string>"
-
 RUN = """
     run_id string, projection_name string, projection_version int, status string,
     started_at timestamp, completed_at timestamp, affected_days bigint, rows_read bigint,
     rows_written bigint, last_error string
 """
 
-CHECKPOINT = """
-    projection_name string, projection_version int, last_updated_at timestamp, last_id string
-"""
-
 REVISIONS = """
     schema_version int, registry_version bigint, registry_revision string, payload_checksum string,
     status string, activated_at timestamp
