@@ -456,11 +456,7 @@ def debounce(df: DataFrame, keys: list[str], at: str, window: timedelta, order:
     return joined.withColumn("kept", kept).select(*df.columns, "kept")
 
 
-def _steps(times, index, micros):
-    """Positions reached from each position by stepping to the first time a window later."""
-    import numpy as np
-
-    return np.searchsorted(times, times[index] + micros, side="left")
+# The walkers below use nothing of this module, so workers need no copy of the package.
 
 
 def _block_answers(names, micros, size):
@@ -477,7 +473,7 @@ def _block_answers(names, micros, size):
         live = at < len(times)
         while live.any():
             last[live] = at[live]
-            at[live] = _steps(times, at[live], micros)
+            at[live] = np.searchsorted(times, times[at[live]] + micros, side="left")
             live = at < len(times)
         onward = times[last] + micros
         keep = np.append(onward[1:] != onward[:-1], True)

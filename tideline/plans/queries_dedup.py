@@ -305,15 +305,15 @@ walk as (
     select user_id, rn, event_id, ts as mark, true as kept from k where rn = 1
     union all
     select k.user_id, k.rn, k.event_id,
-           case when epoch_us(k.ts) - epoch_us(w.mark) >= 86400000000 then k.ts else w.mark end,
-           epoch_us(k.ts) - epoch_us(w.mark) >= 86400000000
+           case when epoch_us(k.ts) - epoch_us(w.mark) >= 604800000000 then k.ts else w.mark end,
+           epoch_us(k.ts) - epoch_us(w.mark) >= 604800000000
     from walk w join k on k.user_id = w.user_id and k.rn = w.rn + 1
 )
 select event_id, kept from walk
 """,
 )
 def expiring_keys(spark, sf_dir):
-    """One event per user and day of key lifetime: a key counts until it expires, then anew."""
+    """One event per user and week of key lifetime: a key counts until it expires, then anew."""
     events = adapters.read(spark, sf_dir, "events")
     at = F.col("ts").cast("timestamp")
     keys = F.array(
@@ -326,5 +326,5 @@ def expiring_keys(spark, sf_dir):
         "event_id", F.struct(at.alias("at"), F.col("event_id").alias("id")).alias("arrival"), at.alias("at"),
         F.lit("").alias("fp"), keys.alias("keys"),
     )
-    kept = cut(dedup.cascade(rows, timedelta(days=1))).select("event_id", F.lit(True).alias("kept"))
+    kept = cut(dedup.cascade(rows, timedelta(days=7))).select("event_id", F.lit(True).alias("kept"))
     return events.select("event_id").join(kept, "event_id", "left").fillna(False, ["kept"])
