@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, langid, pii, quality_fm, url_trie
-from tideline.llm.common import held_out, learnable, spans_digest, spans_text, table, text_of
+from tideline.llm import bpe, decision_list, langid, pii, quality_fm, secret_index, url_trie
+from tideline.llm.common import cut, held_out, learnable, spans_digest, spans_text, table, text_of
 from tideline.session import configure
 
 #: (verdict, host, path)
@@ -34,6 +34,43 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, by rules that a trigram index picks the texts for."""
+    found = secret_index.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "found")
+    found = found.select("doc_id", "found", F.filter("found", lambda s: s["base"]).alias("plain"))
+    kinds = [r.kind for r in secret_index.RULES if r.base]
+    return found.select(
+        "doc_id", *[_count(F.col("plain"), k) for k in kinds], spans_digest(F.col("plain")).alias("base_sha256"), spans_text(F.col("found")).alias("spans")
+    )
+
+
+def _op3_sql() -> str:
+    def matches(order: int, rule: secret_index.Rule) -> str:
+        pattern = "'" + rule.pattern.replace("'", "''") + "'"
+        holds = f"length(regexp_extract(m, {pattern}, 2)) >= 6" if rule.kind == "assign" else "true"
+        return f"""
+  select doc_id, '{rule.kind}' as kind, {order} as ord, {str(rule.base).lower()} as base, start, start + length(m) as stop
+  from (select doc_id, ms[i] as m, cast(list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+          + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) as bigint) as start
+        from (select doc_id, regexp_extract_all(t, {pattern}, 0) as ms, string_split_regex(t, {pattern}) as gaps,
+                unnest(range(1, len(regexp_extract_all(t, {pattern}, 0)) + 1)) as i from d))
+  where {holds}"""
+
+    spans = "\n  union all".join(matches(i, r) for i, r in enumerate(secret_index.RULES))
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents), spans as ({spans}),
+summed as (
+  select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
+    count(*) filter (kind = 'hex') as n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' order by start, ord) filter (base) as plain,
+    string_agg(kind || ':' || start || ':' || stop, ',' order by start, ord) as spans
+  from spans group by doc_id)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(plain, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join summed using (doc_id)
+"""
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; learnt from the rows that aren't held out."""
     docs = table(spark, sf_dir, "documents")
@@ -65,6 +102,17 @@ select page_id, host, path, best.rule as rule, coalesce(best.verdict, 'allow') a
 """
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, the fixed limits on them, and the verdict of the learnt list."""
+    stats = cut(decision_list.statistics(table(spark, sf_dir, "documents")))
+    rules = decision_list.fit(stats, table(spark, sf_dir, "labels"))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return stats.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        (~failed & ~decision_list.rejects(rules)).alias("kept"),
+    )
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and what they decode to, as digests."""
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
@@ -83,8 +131,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op4_language, op7_url_filter, op9_bpe, op10_quality)}
-SQL = {"op7_url_filter": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_secrets, op4_language, op7_url_filter, op8_quality_rules, op9_bpe, op10_quality)}
+SQL = {"op3_secrets": _op3_sql(), "op7_url_filter": OP7_SQL}
 
 
 def queries() -> dict:
