@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, decision_list, langid, pii, quality_fm, secret_index, url_trie
-from tideline.llm.common import cut, held_out, learnable, spans_digest, spans_text, table, text_of
+from tideline.llm import bpe, decision_list, langid, pii, quality_fm, secret_index, url_trie, warc
+from tideline.llm.common import cut, held_out, learnable, spans_digest, spans_text, staging_path, table, text_of
 from tideline.session import configure
 
 #: (verdict, host, path)
@@ -79,6 +79,32 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.confident").alias("confident"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back, payloads seen but not decoded."""
+    path = staging_path(spark, "warc")
+    warc.write(warc.page_records(table(spark, sf_dir, "pages")), path)
+    back = warc.read(spark, path, payload=False)
+    return back.select(
+        warc.page_number(F.col("record_id")).alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type",
+        warc.page_number(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+OP5_SQL = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as hex from pages),
+coded as (
+  select page_id, payload_bytes, hex,
+    list_aggregate(list_transform(range(0, 8), lambda g: list_aggregate(list_transform(range(0, 4), lambda k:
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, cast(5 * g + 1 as bigint), 5))::int >> cast(15 - 5 * k as int)) & 31), 1)),
+      'string_agg', '')), 'string_agg', '') as payload_digest,
+    min(page_id) over (partition by hex) as first_id
+  from p)
+select page_id, payload_bytes, payload_digest, case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id <> first_id then first_id end as refers_to
+from coded
+"""
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule and the verdict for every page's url."""
     pages = table(spark, sf_dir, "pages")
@@ -131,8 +157,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_secrets, op4_language, op7_url_filter, op8_quality_rules, op9_bpe, op10_quality)}
-SQL = {"op3_secrets": _op3_sql(), "op7_url_filter": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_secrets, op4_language, op5_warc, op7_url_filter, op8_quality_rules, op9_bpe, op10_quality)}
+SQL = {"op3_secrets": _op3_sql(), "op5_warc": OP5_SQL, "op7_url_filter": OP7_SQL}
 
 
 def queries() -> dict:
