@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +76,7 @@ class Windows:
     window: np.ndarray
     offset: np.ndarray
     seen: np.ndarray
+    masks: dict[int, dict[int, int]] = field(default_factory=dict)
 
     @classmethod
     def of(cls, rows: Iterable[tuple[int, str]]) -> Windows:
@@ -119,9 +120,40 @@ class Windows:
             first = b * int(2 * self.e[w] + 1) - WINDOW
             yield w, first, first + 2 * int(2 * self.e[w] + 1)
 
+    def occurs(self, w: int, region: list[int]) -> bool:
+        """Whether the window occurs somewhere in the region within its budget: one column of the alignment a step, as bits."""
+        masks = self.masks.get(w)
+        if masks is None:
+            masks = self.masks[w] = {}
+            for i, c in enumerate(self.texts[w].tolist()):
+                masks[c] = masks.get(c, 0) | 1 << i
+        n, e, get = len(self.texts[w]), int(self.e[w]), masks.get
+        every, last, score = (1 << n) - 1, 1 << (n - 1), n
+        more, less = every, 0
+        for c in region:
+            same = get(c, 0)
+            down = same | less
+            across = (((same & more) + more) ^ more) | same
+            up, low = less | ~(across | more), more & across
+            if up & last:
+                score += 1
+            elif low & last:
+                score -= 1
+                if score <= e:
+                    return True
+            up, low = up << 1, low << 1
+            more, less = (low | ~(down | up)) & every, up & down & every
+        return False
+
     def align(self, w: int, codes: np.ndarray, first: int, end: int) -> tuple[int, int, int] | None:
         """(start, end, edits) of the window's best place on the diagonals first to end, or None beyond its budget."""
         text, e = self.texts[w], int(self.e[w])
+        from_, to = max(0, first), max(0, min(len(codes), end + len(text)))
+        same = codes[from_:to].tobytes().find(text.tobytes())
+        if same >= 0 and same % 4 == 0:
+            return from_ + same // 4, from_ + same // 4 + len(text), 0
+        if not self.occurs(w, codes[max(0, first - e) : max(0, end + len(text) + e)].tolist()):
+            return None
         width = end - first + 2 * e
         steps = np.arange(width)
         padded = np.zeros(width + len(text), "u4")
@@ -150,12 +182,15 @@ class Windows:
         starts = np.cumsum([0, *[len(p) + 1 for p in plains]])
         codes = _codes("\0".join([*plains, ""]))
         found: list[dict[int, list[int]]] = [{} for _ in texts]
+        done: dict[tuple[int, int], int] = {}
         for w, first, end in self.bands(codes):
             i = int(np.searchsorted(starts, max(0, min(first + int(self.e[w]), len(codes) - 1)), "right")) - 1
             while i < len(texts) and starts[i] < end + len(self.texts[w]):
-                own = codes[starts[i] : starts[i + 1] - 1]
-                place = self.align(w, own, first - int(starts[i]), end - int(starts[i]))
+                own, a, b = codes[starts[i] : starts[i + 1] - 1], first - int(starts[i]), end - int(starts[i])
+                # a place that the overlapping band before has shown already
+                place = None if a <= done.get((w, i), -1) < b else self.align(w, own, a, b)
                 if place:
+                    done[w, i] = place[0]
                     old = found[i].setdefault(int(self.items[w]), list(place))
                     found[i][int(self.items[w])] = [min(old[0], place[0]), max(old[1], place[1]), min(old[2], place[2])]
                 i += 1

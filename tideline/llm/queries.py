@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, decision_list, langid, pii, quality_fm, secret_index, url_trie, warc
+from tideline.llm import bpe, decision_list, decontaminate, langid, pii, quality_fm, secret_index, url_trie, warc
 from tideline.llm.common import cut, held_out, learnable, spans_digest, spans_text, staging_path, table, text_of
 from tideline.session import configure
 
@@ -105,6 +105,13 @@ from coded
 """
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that occurs in a document, with its place there. Documents without any have no row."""
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = docs.select("doc_id", decontaminate.hits(F.col("text"), benchmark).alias("hits"))
+    return found.select("doc_id", F.inline("hits"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule and the verdict for every page's url."""
     pages = table(spark, sf_dir, "pages")
@@ -157,7 +164,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_secrets, op4_language, op5_warc, op7_url_filter, op8_quality_rules, op9_bpe, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_secrets, op4_language, op5_warc, op6_decontamination, op7_url_filter, op8_quality_rules, op9_bpe, op10_quality)}
 SQL = {"op3_secrets": _op3_sql(), "op5_warc": OP5_SQL, "op7_url_filter": OP7_SQL}
 
 
