@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, decision_list, decontaminate, langid, pii, quality_fm, secret_index, url_trie, warc
+from tideline.llm import bpe, decision_list, decontaminate, langid, order_minhash, pii, quality_fm, secret_index, url_trie, warc
 from tideline.llm.common import cut, held_out, learnable, spans_digest, spans_text, staging_path, table, text_of
 from tideline.session import configure
 
@@ -25,6 +25,11 @@ def _count(spans, kind: str):
     return F.size(F.filter(spans, lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document: the smallest doc_id among its near-duplicates."""
+    return order_minhash.class_ids(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data, plain and disguised, in every document."""
     found = table(spark, sf_dir, "documents").select("doc_id", pii.spans(F.col("text")).alias("found"))
@@ -164,7 +169,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_secrets, op4_language, op5_warc, op6_decontamination, op7_url_filter, op8_quality_rules, op9_bpe, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_pii, op3_secrets, op4_language, op5_warc, op6_decontamination, op7_url_filter, op8_quality_rules, op9_bpe, op10_quality)}
 SQL = {"op3_secrets": _op3_sql(), "op5_warc": OP5_SQL, "op7_url_filter": OP7_SQL}
 
 
