@@ -8,7 +8,7 @@ n - Q + 1 - Q * e q-grams with it, on diagonals at most 2 * e apart. So shared q
 
 Items of fewer than LEAST characters in that form are too short to judge and never occur; null items likewise. A null text
 counts as empty and has no hits. Texts are searched whole. Repeated rows get repeated results. Copies of an item
-give a hit each. An empty benchmark or an empty table gives no hits.
+give a hit each, and an item without id one with a null item_id. An empty benchmark or an empty table gives no hits.
 """
 
 from __future__ import annotations
@@ -65,9 +65,10 @@ def grams(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Windows:
-    """items: the item of each window. texts: their characters. e: their edit budgets. least: their q-gram bounds."""
+    """ids: of the items, which may be null. items: the item of each window, as its place in ids. texts: their characters. e: their edit budgets. least: their q-gram bounds."""
 
-    items: np.ndarray
+    ids: list[int | None]
+    items: list[int]
     texts: list[np.ndarray]
     e: np.ndarray
     least: np.ndarray
@@ -80,12 +81,13 @@ class Windows:
 
     @classmethod
     def of(cls, rows: Iterable[tuple[int, str]]) -> Windows:
-        items, texts = [], []
+        ids, items, texts = [], [], []
         for item, text in rows:
+            ids.append(item)
             codes = _codes(plain(text))
             if len(codes) >= LEAST:
                 for start in {*range(0, max(1, len(codes) - WINDOW), WINDOW // 2), max(0, len(codes) - WINDOW)}:
-                    items.append(item)
+                    items.append(len(ids) - 1)
                     texts.append(codes[start : start + WINDOW])
         sizes = np.array([len(t) for t in texts], "i8")
         e = (EDITS * sizes).astype("i8")
@@ -97,7 +99,7 @@ class Windows:
         keys, begin = np.unique(hashes[order], return_index=True)
         seen = np.zeros(1 << 22, bool)
         seen[(keys & np.uint64(len(seen) - 1)).astype("i8")] = True
-        return cls(np.array(items, "i8"), texts, e, sizes - Q + 1 - Q * e, keys, np.append(begin, len(hashes)), window[order], offset[order], seen)
+        return cls(ids, items, texts, e, sizes - Q + 1 - Q * e, keys, np.append(begin, len(hashes)), window[order], offset[order], seen)
 
     def bands(self, codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(window, first diagonal, end of diagonals) of the bands that reach the window's bound."""
@@ -191,10 +193,10 @@ class Windows:
                 place = None if a <= done.get((w, i), -1) < b else self.align(w, own, a, b)
                 if place:
                     done[w, i] = place[0]
-                    old = found[i].setdefault(int(self.items[w]), list(place))
-                    found[i][int(self.items[w])] = [min(old[0], place[0]), max(old[1], place[1]), min(old[2], place[2])]
+                    old = found[i].setdefault(self.items[w], list(place))
+                    found[i][self.items[w]] = [min(old[0], place[0]), max(old[1], place[1]), min(old[2], place[2])]
                 i += 1
-        return [[(item, *_source(t, a, b), e) for item, (a, b, e) in sorted(hits.items())] if hits else [] for t, hits in zip(texts, found)]
+        return [[(self.ids[item], *_source(t, a, b), e) for item, (a, b, e) in sorted(hits.items())] if hits else [] for t, hits in zip(texts, found)]
 
 
 def _source(text: str, start: int, end: int) -> tuple[int, int]:

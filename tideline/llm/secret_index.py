@@ -123,6 +123,11 @@ def _required(nodes: list) -> object:
         if here is not None and len(run) * len(here) <= MOST_STRINGS:
             run = {a + b for a in run for b in here}
             continue
+        once = _strings(arg[2]) if op is sre.MAX_REPEAT and arg[0] >= 1 and here is None else None
+        if once and len(run) * len(once) <= MOST_STRINGS:  # it begins with one pass and ends with one
+            needed.append(_containing({a + b for a in run for b in once}))
+            run = once
+            continue
         needed.append(_containing(run))
         run = here if here is not None else {""}
         if here is None:

@@ -75,7 +75,7 @@ class Trie:
             at = at.parts.setdefault(part, PathNode())
         value = (host + path, verdict)
         if tail:
-            if at.tails.get(tail, value)[1] != "block":
+            if tail not in at.tails or at.tails[tail][1] != "block":
                 at.tails[tail] = value
         elif at.rule is None or at.rule[1] != "block":
             at.rule = value

@@ -205,6 +205,8 @@ class Reader(DataSourceReader):
         def wanted(fields):
             return all(fields.get(name) in values for name, values in self.allowed)
 
+        if partition is None:  # there is no file
+            return
         rows, size = [], 0
         for r in read_file(partition.path, wanted, self.with_payload):
             digest = r.fields.get("payload_digest")
