@@ -107,6 +107,33 @@ def test_cascade_with_earlier_runs(spark):
     assert decide(spark, rows, marks, stored) == model(rows, marks, stored)
 
 
+def test_batches_that_come_in_swapped_order(spark):
+    """A mark of an earlier batch blocks what comes later, although it is newer."""
+    rng = random.Random(11)
+    rows = [make_row(rng, i, hot=False) for i in range(60)]
+    marks = [("purchase_line", "p1", START + timedelta(hours=90)), ("semantic", "s2", START + timedelta(hours=200)), ("exact", "e3", START + timedelta(hours=40))]
+    expected = model(rows, marks)
+    assert decide(spark, rows, marks) == expected
+    blocked = [r for r in rows if any(k[:2] == ("purchase_line", "p1") for k in r["keys"])]
+    assert blocked and all(expected[r["id"]][0] != "inserted" for r in blocked)
+
+
+def test_a_long_chain_settles(spark):
+    """Every event shares one line key with the next, so every second one stays."""
+    rows = [
+        {"id": i, "event_id": f"e{i}", "at": START + timedelta(seconds=i), "fp": f"//{i}", "keys": [("exact", f"e{i}", 1, True), ("purchase_line", f"p{i}", 3, False), ("purchase_line", f"p{i + 1}", 3, False)]}
+        for i in range(14)
+    ]
+    assert {i for i, o in decide(spark, rows).items() if o[0] == "inserted"} == set(range(0, 14, 2))
+
+
+def test_debounce_of_a_null_key(spark):
+    rows = [(1, None, START), (2, None, START + timedelta(seconds=0.1)), (3, None, START + timedelta(seconds=2)), (4, "a", START)]
+    df = spark.createDataFrame(rows, "id int, key string, t timestamp")
+    got = dedup.debounce(df, ["key"], "t", timedelta(seconds=1), ["t", "id"])
+    assert {r.id: r.kept for r in got.collect()} == {1: True, 2: False, 3: True, 4: True}
+
+
 def test_a_dropped_event_blocks_nobody(spark):
     """e1 repeats e0's logical id; e2 shares e1's event id only and must stay."""
     at = [START + timedelta(minutes=i) for i in range(3)]

@@ -199,7 +199,6 @@ def cascade(
     ttl: timedelta = timedelta(seconds=vocab.KEY_TTL_SECONDS),
     marks: DataFrame | None = None,
     stored: DataFrame | None = None,
-    max_rounds: int = 1000,
 ) -> DataFrame:
     """Decides which candidates are kept; the result has one row per kept candidate.
 
@@ -224,9 +223,8 @@ def cascade(
     undecided = cut(undecided if known is None else _judge(undecided, known, span))
 
     kept = free
-    for _ in range(max_rounds):
-        if undecided.isEmpty():
-            return kept.withColumn("inserted", ~F.col("_again")).drop("_again")
+    # The earliest undecided arrival wins all its keys, so every round decides some and the loop ends.
+    while not undecided.isEmpty():
         open_keys = _keyed(undecided)
         first = open_keys.groupBy("kind", "key").agg(F.min("arrival").alias("_first"))
         won = (
@@ -239,7 +237,7 @@ def cascade(
         kept = kept.unionByName(winners)
         rest = undecided.join(winners.select("arrival"), "arrival", "left_anti")
         undecided = cut(_judge(rest, _marked_by(winners), span))
-    raise RuntimeError("the cascade did not settle")
+    return kept.withColumn("inserted", ~F.col("_again")).drop("_again")
 
 
 def _marked_by(winners: DataFrame) -> DataFrame:
@@ -304,27 +302,27 @@ def explain_drops(
     """Per candidate the first layer with a live mark (arrival, layer, kind), and for those without
     one the stored event it repeats (existing_event_id, existing_field, existing_fp).
 
-    candidates and accepted also carry event_id. Two marks of a key are at least a TTL apart, so a
-    row needs to look only into its own TTL-wide bucket and the one before.
+    candidates and accepted also carry event_id. Two marks of a key within a batch are at least a TTL
+    apart, so a row needs to look only into its own TTL-wide bucket and the one before.
     """
     span = int(ttl.total_seconds() * 1_000_000)
 
     def bucket(at):
         return F.floor(F.unix_micros(at) / F.lit(span)).cast("bigint")
 
+    # Within the batch a mark is never newer than what it blocks, because arrival goes by time.
     live = _keyed(accepted).select("kind", "key", F.col("at").alias("_at"), F.col("arrival").alias("_by"))
-    if marks is not None:
-        live = live.unionByName(
-            marks.select("kind", "key", F.col("at").alias("_at"), F.lit(None).cast(live.schema["_by"].dataType).alias("_by"))
-        )
     reach = live.select("*", F.explode(F.array(bucket("_at"), bucket("_at") + 1)).alias("_b"))
     checks = _keyed(candidates).where("layer is not null").withColumn("_b", bucket("at"))
     age = F.unix_micros("at") - F.unix_micros("_at")
-    earlier = F.col("_by").isNull() | (F.col("_by") < F.col("arrival"))
+    hits = checks.join(reach, ["kind", "key", "_b"]).where((F.col("_by") < F.col("arrival")) & (age < span))
+    hits = hits.select("arrival", "layer", "kind")
+    if marks is not None:
+        # A mark of an earlier run blocks whatever comes after it, newer or older; the newest one decides.
+        newest = marks.groupBy("kind", "key").agg(F.max("at").alias("_at"))
+        hits = hits.unionByName(checks.join(newest, ["kind", "key"]).where(age < span).select("arrival", "layer", "kind"))
     layers = (
-        checks.join(reach, ["kind", "key", "_b"])
-        .where(earlier & (age >= 0) & (age < span))
-        .groupBy("arrival")
+        hits.groupBy("arrival")
         .agg(F.min(F.struct("layer", "kind")).alias("_hit"))
         .select("arrival", F.col("_hit.layer").alias("layer"), F.col("_hit.kind").alias("kind"))
     )
@@ -410,7 +408,8 @@ def debounce(df: DataFrame, keys: list[str], at: str, window: timedelta, order:
     Keys without any two rows that close keep everything and never leave the JVM. The others are
     walked in blocks of sixty windows: every block answers, for each threshold that may reach it,
     which threshold it hands on; the answers are chained per key over that small table; then every
-    block is walked once from its true threshold. No task holds more than one block of a key.
+    block is walked once from its true threshold. No task holds more than one block of a key, or the answers of
+    all its blocks. Null keys are one key.
     """
     from tideline.operators import ordered
 
@@ -423,12 +422,15 @@ def debounce(df: DataFrame, keys: list[str], at: str, window: timedelta, order:
     names = [f"_k{i}" for i in range(len(keys))]
     renamed = [F.col(k).alias(n) for k, n in zip(keys, names)]
     busy = lagged.where(close).select(*renamed).distinct()
-    moments = (
-        timed.groupBy(*renamed, "_us")
-        .agg(F.min(F.struct(*order)).alias("_head"))
-        .join(busy, names, "left_semi")
-        .withColumn("_block", bucket)
-    )
+
+    def with_equal(left: DataFrame, right: DataFrame, extra: list[str], how: str = "inner") -> DataFrame:
+        """Joins on the key, a null key being equal to a null key."""
+        other = right.select(*[F.col(c).alias(f"_r{c}") if c in (*names, *extra) else F.col(c) for c in right.columns])
+        same = [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in (*names, *extra)]
+        return left.join(other, same, how).drop(*[f"_r{c}" for c in (*names, *extra)])
+
+    moments = timed.groupBy(*renamed, "_us").agg(F.min(F.struct(*order)).alias("_head"))
+    moments = with_equal(moments, busy, [], "left_semi").withColumn("_block", bucket)
     points = moments.select(*names, "_block", "_us")
     types = {f.name: f.dataType.simpleString() for f in points.schema}
     key_ddl = ", ".join(f"{n} {types[n]}" for n in names)
@@ -440,11 +442,11 @@ def debounce(df: DataFrame, keys: list[str], at: str, window: timedelta, order:
         _chain(names), f"{key_ddl}, _block bigint, _from bigint"
     )
     walked = (
-        points.join(entries, [*names, "_block"])
+        with_equal(points, entries, ["_block"])
         .groupBy(*names, "_block")
         .applyInPandas(_walk(names, micros), f"{key_ddl}, _us bigint")
     )
-    heads = moments.join(walked, [*names, "_us"]).select(
+    heads = with_equal(moments, walked, ["_us"]).select(
         *names, F.col("_us").alias("_kept_us"), F.col("_head").alias("_kept_head")
     )
     chained = busy.withColumn("_busy", F.lit(True))
