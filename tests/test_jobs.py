@@ -1,6 +1,7 @@
 """Whole jobs over tables in a scratch folder: ingest stream, projections, bootstrap, the two together."""
 
 import json
+import os
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -10,7 +11,7 @@ from tideline import schemas, vocab
 from tideline.operators import dimension, registry, suggestions
 from tideline.plans import bootstrap, projection
 from tideline.plans.tables import Tables
-from tideline.sources import dimensions
+from tideline.sources import dimensions, envelope
 from tideline.streaming import jobs
 
 UTC = timezone.utc
@@ -54,6 +55,29 @@ def run_stream(spark, tables, folder):
     query.awaitTermination()
 
 
+def test_every_message_becomes_an_event_or_a_dead_letter(spark):
+    good, bad = json.loads(json.dumps(message("e1"))), {"stream_id": "x", "payload": "{"}
+    rows = [(good["stream_id"], good["payload"], n) for n in (None, 1, 99)] + [(bad["stream_id"], bad["payload"], n) for n in (None, 1)] + [(None, None, None)]
+    decoded = envelope.decode_messages(spark.createDataFrame(rows, jobs.MESSAGE))
+    dead = envelope.dead_letters(decoded).count()
+    alive = decoded.where(~envelope.is_dead()).count()
+    assert (alive, dead) == (2, 4)
+
+
+def test_the_first_of_two_equal_changes_counts(spark):
+    def change(event_id, name, received):
+        at = T0 - timedelta(days=1)
+        return ("tenant-1", "customer", "7", event_id, 0, name, received, at, "m1", None, None, "unknown", "normalized")
+
+    columns = "tenant_id string, subject_type string, external_subject_id string, event_id string, subject_ordinal int, event_name string, received_at timestamp, lifecycle_source_updated_at timestamp, lifecycle_source_mutation_id string, lifecycle_effective_at timestamp, merged_into_external_subject_id string, initial_status string, normalization_status string"
+    rows = [change("b", "subject_deactivated", T0), change("a", "subject_reactivated", T0), change("0", "subject_deactivated", T0 + timedelta(seconds=1))]
+    df = spark.createDataFrame(rows, columns)
+    assert [r.lifecycle_status for r in dimension.fold(dimension.changes_from_events(df)).collect()] == ["active"]
+    late = dimension.fold(dimension.changes_from_events(df.where("event_id = '0'")))
+    first = dimension.fold(dimension.changes_from_events(df.where("event_id <> '0'")))
+    assert [r.lifecycle_status for r in dimension.merge(late, first).collect()] == ["active"]
+
+
 def test_stream_batches_replay_and_projection(spark, tables, tmp_path):
     folder = tmp_path / "in"
     changed = {"subjects": [{"subject_type": "customer", "subject_id": "43"}]}
@@ -167,6 +191,8 @@ def test_bootstrap_resumes_and_finishes_once(spark, tables, tmp_path):
     page(folder, "1.json", "r1", ["1", "2"], "c1")
     page(folder, "2.json", "r1", ["3"], None, "merged")
     (folder / "3.json").write_text('{"subject_type":"account","source_revision":"r1","has_more":false,"subjects":[]}')
+    for i, f in enumerate(sorted(folder.iterdir())):  # pages are taken by the time of their files
+        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
     with pytest.raises(Exception):
         bootstrap.run(tables, str(folder), T0, pages_per_batch=1)
     state = bootstrap.state(tables)

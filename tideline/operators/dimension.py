@@ -48,13 +48,15 @@ def changes_from_events(rows: DataFrame) -> DataFrame:
             F.col("received_at"),
         ),
     )
+    place = [F.col(c) if c in rows.columns else F.lit("") for c in ("event_id", "subject_ordinal")]
+    tie = F.concat(place[0], F.lit("/"), F.lpad(place[1].cast("string"), 9, "0")).alias("tie")
     own = usable.select(
         *KEY, (F.col("initial_status") == "active").alias("confirmed"),
-        F.col("received_at").alias("seen_at"), change.alias("change"),
+        F.col("received_at").alias("seen_at"), tie, change.alias("change"),
     )
     targets = usable.where(F.col("merged_into_external_subject_id").isNotNull()).select(
         "tenant_id", "subject_type", F.col("merged_into_external_subject_id").alias("external_subject_id"),
-        F.lit(False).alias("confirmed"), F.col("received_at").alias("seen_at"),
+        F.lit(False).alias("confirmed"), F.col("received_at").alias("seen_at"), tie,
         F.lit(None).cast(_STATE).alias("change"),
     )
     return own.unionByName(targets)
@@ -64,7 +66,7 @@ def changes_from_snapshot(snapshot: DataFrame) -> DataFrame:
     """Valid snapshot rows as contributions; a merged row also brings its target."""
     rows = snapshot.withColumn("subject_type", F.lit("customer"))
     own = rows.select(
-        *KEY, F.lit(False).alias("confirmed"), F.col("source_updated_at").alias("seen_at"),
+        *KEY, F.lit(False).alias("confirmed"), F.col("source_updated_at").alias("seen_at"), F.lit("").alias("tie"),
         F.struct(
             F.col("source_updated_at").alias("updated_at"),
             F.col("source_mutation_id").alias("mutation_id"),
@@ -76,7 +78,7 @@ def changes_from_snapshot(snapshot: DataFrame) -> DataFrame:
     )
     targets = rows.where(F.col("lifecycle_status") == "merged").select(
         "tenant_id", "subject_type", F.col("merged_into_external_subject_id").alias("external_subject_id"),
-        F.lit(False).alias("confirmed"), F.col("source_updated_at").alias("seen_at"),
+        F.lit(False).alias("confirmed"), F.col("source_updated_at").alias("seen_at"), F.lit("").alias("tie"),
         F.lit(None).cast(_STATE).alias("change"),
     )
     return own.unionByName(targets)
@@ -93,21 +95,32 @@ def changes_from_dimension(subjects: DataFrame) -> DataFrame:
     )
     return subjects.select(
         *KEY, (F.col("lifecycle_status") == "active").alias("confirmed"),
-        F.col("status_updated_at").alias("seen_at"), ordered_change.alias("change"),
+        F.col("status_updated_at").alias("seen_at"), F.lit("").alias("tie"), ordered_change.alias("change"),
     )
 
 
 def fold(changes: DataFrame) -> DataFrame:
     """One row per subject: the latest lifecycle change wins, else active once confirmed.
 
-    A pure aggregation: partial per task, so a subject with very many changes costs one row per
-    task in the shuffle.
+    Of changes with the same source time and mutation id the first that arrived counts, as a later one is ignored when it
+    comes. Two partial aggregations: a subject with very many changes costs one row per change and task in the first
+    shuffle, spread by change, and one per task in the second.
     """
-    folded = changes.groupBy(*KEY).agg(
-        F.max("change").alias("_c"),
-        F.bool_or("confirmed").alias("_confirmed"),
-        F.min(F.when(F.col("confirmed"), F.col("seen_at"))).alias("_confirmed_at"),
-        F.min("seen_at").alias("_first_seen"),
+    folded = (
+        changes.groupBy(*KEY, F.col("change.updated_at").alias("_at"), F.col("change.mutation_id").alias("_id"))
+        .agg(
+            F.min(F.when(F.col("change").isNotNull(), F.struct("seen_at", "tie", "change"))).alias("_first"),
+            F.bool_or("confirmed").alias("_confirmed"),
+            F.min(F.when(F.col("confirmed"), F.col("seen_at"))).alias("_confirmed_at"),
+            F.min("seen_at").alias("_first_seen"),
+        )
+        .groupBy(*KEY)
+        .agg(
+            F.max_by(F.col("_first.change"), F.when(F.col("_first").isNotNull(), F.struct("_at", "_id"))).alias("_c"),
+            F.bool_or("_confirmed").alias("_confirmed"),
+            F.min("_confirmed_at").alias("_confirmed_at"),
+            F.min("_first_seen").alias("_first_seen"),
+        )
     )
     c = F.col("_c")
     status = F.when(c.isNotNull(), c["status"]).when(F.col("_confirmed"), F.lit("active")).otherwise(F.lit("unknown"))

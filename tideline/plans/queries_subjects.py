@@ -136,12 +136,12 @@ _DIMENSION = base.FACTS + base.sql(
     where source_updated_at <> 'yesterday' and (lifecycle_status <> 'merged' or merged_into_external_subject_id is not null)
 ),
 changes as (
-    select tenant_id, external_subject_id, source_updated_at, source_mutation_id, received_at as seen_at,
+    select tenant_id, external_subject_id, source_updated_at, source_mutation_id, received_at as seen_at, event_id as tie,
            case event_name when 'subject_deactivated' then 'inactive' when 'subject_reactivated' then 'active' else 'merged' end as status,
            merge_target as target
     from (<<lc>>)
     union all
-    select tenant_id, external_subject_id, timestamp '1998-06-01 00:00:00', source_mutation_id, timestamp '1998-06-01 00:00:00', lifecycle_status,
+    select tenant_id, external_subject_id, timestamp '1998-06-01 00:00:00', source_mutation_id, timestamp '1998-06-01 00:00:00', '', lifecycle_status,
            case when lifecycle_status = 'merged' then merged_into_external_subject_id end from snap
 ),
 ids as (
@@ -153,7 +153,7 @@ ids as (
 latest as (
     select * from changes
     qualify row_number() over (partition by tenant_id, external_subject_id
-        order by source_updated_at desc, source_mutation_id desc, status desc, target desc nulls last, seen_at desc) = 1
+        order by source_updated_at desc, source_mutation_id desc, seen_at, tie) = 1
 ),
 subjects as (
     select i.tenant_id, 'customer' as subject_type, i.external_subject_id,
