@@ -103,18 +103,15 @@ def _advance(tables, facts, subjects, contextual, name, version, key) -> dict:
     return dict(affected_days=affected.count(), rows_read=top["n"], rows_written=written)
 
 
-def _on_days(rows: DataFrame, days: DataFrame, column: str, margin: int, most: int = 1000) -> DataFrame:
-    """Prunes the day folders of a table to the touched days; with very many days none is pruned.
+def _on_days(rows: DataFrame, days: DataFrame, column: str, margin: int) -> DataFrame:
+    """The rows on the touched days; the join prunes a table's day folders at run time.
 
     The table's day may be off the local date by the margin, because it is taken in UTC.
     """
     if column not in rows.columns:
         return rows
-    spread = days.select(
-        F.explode(F.transform(F.sequence(F.lit(-margin), F.lit(margin)), lambda d: F.date_add("local_date", d))).alias("d")
-    ).distinct()
-    few = [r["d"] for r in spread.limit(most + 1).collect()]
-    return rows if len(few) > most else rows.where(F.col(column).isin(few))
+    near = F.explode(F.transform(F.sequence(F.lit(-margin), F.lit(margin)), lambda d: F.date_add("local_date", d)))
+    return rows.join(days.select(near.alias(column)).distinct(), column, "left_semi")
 
 
 def run_all(tables: Tables, facts: DataFrame, subjects: DataFrame, now: datetime, version: int = 1) -> list[dict]:

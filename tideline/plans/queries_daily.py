@@ -215,11 +215,10 @@ LIMIT = 10
 
 def _composed(spark, sf_dir):
     facts = cut(base.facts(spark, sf_dir))
-    # Context rows of fewer subjects, so that every mix of levels occurs.
     known = cut(_subjects(facts))
+    # A short window for contexts, so that every mix of levels occurs.
     context_rows = suggestions.rank_context(
-        projections.daily(facts.where(F.col("external_subject_id").endswith("3")), contextual=True),
-        known, base.definitions(spark), base.AS_OF, limit=LIMIT,
+        projections.daily(facts, contextual=True), known, base.definitions(spark), base.AS_OF, days=2, limit=LIMIT
     )
     global_rows = suggestions.rank_global(projections.daily(facts), known, base.AS_OF, limit=LIMIT)
     requests = _requests(spark, sf_dir)
@@ -227,10 +226,7 @@ def _composed(spark, sf_dir):
 
 
 _COMPOSED = (
-    _DAILY.replace(
-        "from context_daily semi join active using (tenant_id, external_subject_id)\n    where",
-        "from context_daily semi join active using (tenant_id, external_subject_id)\n    where external_subject_id like '%3' and",
-    )
+    _DAILY.replace("timezone_name as date) - 29", "timezone_name as date) - 1")
     + _REQUESTS
     + """
 , offered as (

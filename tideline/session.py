@@ -21,6 +21,8 @@ RUNTIME_CONF = {
     # Inferring constraints over projections with hundreds of payload expressions takes the optimizer
     # minutes; filters that matter are written out.
     "spark.sql.constraintPropagation.enabled": "false",
+    # Rows handed to Python at once; whole texts can be long.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # Replacing a daily table rewrites only the dates present in the output.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
@@ -85,14 +87,5 @@ def drop_cuts(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spreads a scan of fewer partitions than cores over them; bigger scans are left as they are.
-
-    Meant for plain scans ahead of costly per-row work, such as one small unsplittable file.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def join_path(base: str, *parts: str) -> str:
     return os.path.join(base, *parts)
