@@ -56,6 +56,21 @@ ranked_context as (
 )
 
 
+# What daily counts, the change scan and the dimension read of a fact.
+_READ = (
+    "tenant_id", "subject_type", "external_subject_id", "event_id", "subject_ordinal", "event_name", "event_time", "received_at",
+    "updated_at", "row_id", "local_date", "timezone_name", "normalization_status", "context_key", "context_version",
+    "context_resolution_status", "initial_status", "lifecycle_source_updated_at", "lifecycle_source_mutation_id",
+    "lifecycle_effective_at", "merged_into_external_subject_id",
+)
+
+
+def _facts(spark, sf_dir):
+    """Facts that are read more than once, written with the columns in use."""
+    rows = base.facts(spark, sf_dir)
+    return cut(rows.select(*[c for c in _READ if c in rows.columns]))
+
+
 def _subjects(facts):
     return dimension.fold(dimension.changes_from_events(facts))
 
@@ -74,7 +89,8 @@ def top_subjects_from_raw(spark, sf_dir):
     order = F.struct("received_at", "event_id", "stream_id")
     fresh = dedup.flag_repeats(valid, ["event_id"], order).where("not repeat")
     placed = validation.join_sites(fresh, base.sites(spark, sf_dir))
-    facts = cut(subjects.subject_rows(placed))
+    rows = subjects.subject_rows(placed)
+    facts = cut(rows.select(*[c for c in _READ if c in rows.columns]))
     daily = projections.daily(facts)
     ranked = suggestions.rank_global(daily, _subjects(facts), base.AS_OF)
     return ranked.select("tenant_id", "position", "external_subject_id", "association_count", "last_association_at")
@@ -123,7 +139,7 @@ def affected_context_days(spark, sf_dir):
 @query("G2 G4 J3", _DAILY + "select * from global_daily")
 def incremental_daily(spark, sf_dir):
     """Daily rows kept up over two runs: the second recounts what changed, however late, and replaces it."""
-    facts = cut(base.facts(spark, sf_dir))
+    facts = _facts(spark, sf_dir)
     known = cut(_subjects(facts))
     # The first run saw what had arrived by then; old events of some subjects arrive only later.
     late = F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0
@@ -155,7 +171,7 @@ def daily_upsert(spark, sf_dir):
 @query("H1 E8", _DAILY + "select tenant_id, position, external_subject_id, association_count, last_association_at from ranked_global")
 def global_ranking(spark, sf_dir):
     """Top ten subjects of every tenant over ninety local days."""
-    facts = cut(base.facts(spark, sf_dir))
+    facts = _facts(spark, sf_dir)
     ranked = suggestions.rank_global(projections.daily(facts), _subjects(facts), base.AS_OF)
     return ranked.select("tenant_id", "position", "external_subject_id", "association_count", "last_association_at")
 
@@ -166,7 +182,7 @@ def global_ranking(spark, sf_dir):
 )
 def tenant_ranking(spark, sf_dir):
     """Top ten subjects of one tenant, as a distributed top-k."""
-    facts = cut(base.facts(spark, sf_dir))
+    facts = _facts(spark, sf_dir)
     top = suggestions.top_global(projections.daily(facts), _subjects(facts), "tenant-1", base.AS_OF)
     return top.select("external_subject_id", "association_count", "last_association_at")
 
@@ -177,7 +193,7 @@ def tenant_ranking(spark, sf_dir):
 )
 def context_ranking(spark, sf_dir):
     """Top ten subjects of every tenant and active context over thirty local days."""
-    facts = cut(base.facts(spark, sf_dir))
+    facts = _facts(spark, sf_dir)
     ranked = suggestions.rank_context(
         projections.daily(facts, contextual=True), _subjects(facts), base.definitions(spark), base.AS_OF
     )
@@ -214,7 +230,7 @@ LIMIT = 10
 
 
 def _composed(spark, sf_dir):
-    facts = cut(base.facts(spark, sf_dir))
+    facts = _facts(spark, sf_dir)
     known = cut(_subjects(facts))
     # A short window for contexts, so that every mix of levels occurs.
     context_rows = suggestions.rank_context(
