@@ -11,9 +11,8 @@ from tideline.llm.common import cut
 def _jump(parents: DataFrame) -> DataFrame:
     """Follows parents until all point at a root; each pass doubles the distance covered."""
     while True:
-        above = parents.select(F.col("parent").alias("node_"), F.col("parent").alias("near")).distinct()
-        above = above.join(parents.select(F.col("node").alias("node_"), F.col("parent").alias("far")), "node_").select("near", "far")
-        moved = parents.join(above.withColumnRenamed("near", "parent"), "parent", "left")
+        above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("far"))
+        moved = parents.join(above, "parent", "left")
         parents = cut(moved.select("node", F.coalesce("far", "parent").alias("parent"), F.col("far").isNotNull().alias("moved")))
         if parents.where("moved").isEmpty():
             return parents.drop("moved")
@@ -34,7 +33,7 @@ def components(links: DataFrame) -> DataFrame:
             nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
             found = nodes.join(parents, "node", "left").select("node", F.coalesce("parent", "node").alias("root"))
         else:
-            above = parents.select(F.col("node").alias("root"), "parent")
+            above = parents.withColumnRenamed("node", "root")
             found = found.join(above, "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
         found = cut(found)
         for end in ("a", "b"):

@@ -11,8 +11,8 @@ pair can reach. Classes are the connected components of the links; equal texts a
 
 A linked pair shares no element with probability (1 - s ** LEAST) ** ELEMENTS, 5e-6 at s = 0.8, and then can
 still be in one class through others. In a bucket of texts with a common element, members are compared with the
-most central ones, that is those that share most elements with others; buckets whose members are in several classes
-go on with the next central ones, as long as that joins any classes. So no bucket's pairs are all made, however large it is.
+most central one, that is the one that shares most elements with others; buckets whose members are in several classes
+go on with the next two, four and so on, as long as that joins any classes. So no bucket's pairs are all made, however large it is.
 
 Null texts count as empty; texts without a word are similar only to equal ones. Texts are read whole. Null ids are
 allowed: such rows have a class like any others, and a class of only such rows has a null class_id. Repeated rows have one
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,19 +139,26 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
 
 
 def _elements(text: Column) -> Column:
-    @F.arrow_udf("array<bigint>")
+    """The number of shingles and the elements."""
+
+    @F.arrow_udf("struct<size: int, elements: array<bigint>>")
     def elements(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = Words()
         for batch in batches:
-            rows = [sketch(shingles(t.as_py(), words)) for t in batch]
+            sizes, rows = [], []
+            for text in batch:
+                labelled = shingles(text.as_py(), words)
+                sizes.append(len(labelled))
+                rows.append(sketch(labelled))
             offsets = np.cumsum([0, *map(len, rows)]).astype("i4")
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, "i8")))
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, "i8")))
+            yield pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), lists], names=["size", "elements"])
 
     return elements(text)
 
 
 def _similarities(pairs: DataFrame, threshold: float) -> DataFrame:
-    """a, b and similarity of pairs (a, a_text, b, b_text)."""
+    """a, b, their roots and the similarity, for the pairs (a, a_text, a_root, b, b_text, b_root) that reach the threshold."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, recent = Words(), OrderedDict()
@@ -163,11 +171,13 @@ def _similarities(pairs: DataFrame, threshold: float) -> DataFrame:
             return found
 
         for batch in batches:
-            a, at, b, bt = batch.columns
-            values = [similarity(of(x.as_py(), s), of(y.as_py(), t), threshold) for x, s, y, t in zip(a, at, b, bt)]
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(values, pa.float64())], names=["a", "b", "similarity"])
+            a, at, a_root, b, bt, b_root = batch.columns
+            values = pa.array((similarity(of(x.as_py(), s), of(y.as_py(), t), threshold) for x, s, y, t in zip(a, at, b, bt)), pa.float64())
+            found = pa.RecordBatch.from_arrays([a, a_root, b, b_root, values], names=["a", "a_root", "b", "b_root", "similarity"])
+            yield found.filter(pc.greater(values, 0))
 
-    return pairs.select("a", "a_text", "b", "b_text").mapInArrow(compare, "a binary, b binary, similarity double")
+    ends = pairs.select("a", "a_text", "a_root", "b", "b_text", "b_root")
+    return ends.mapInArrow(compare, "a binary, a_root binary, b binary, b_root binary, similarity double")
 
 
 def _keyed(docs: DataFrame, text: str) -> list[Column]:
@@ -177,41 +187,45 @@ def _keyed(docs: DataFrame, text: str) -> list[Column]:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(element, node, weight) for elements that several texts have; weight says how much a text shares in all."""
-    each = nodes.select("node", F.explode("elements").alias("element"))
+    """(element, node, size, weight, root) for elements that several texts have. size is the number of shingles, weight says
+    how much a text shares in all, and every text is its own root so far."""
+    each = nodes.select("node", "size", F.explode("elements").alias("element"))
     sizes = each.groupBy("element").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cut(each.join(sizes, "element"))
     weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
-    return cut(shared.select("element", "node").join(weights, "node"))
+    members = shared.select("element", "node", "size").join(weights, "node")
+    return cut(members.withColumn("root", F.col("node")))
 
 
-def _links(buckets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _links(buckets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
     """(node, root) over all texts that are linked to another one."""
     order = Window.partitionBy("element").orderBy(F.desc("weight"), "node")
-    links, roots, done, upto = None, None, 0, 2
+    members, roots, done, upto = buckets, None, 0, 1
     while True:
-        members = buckets
-        if roots is not None:
-            rooted = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            mixed = rooted.groupBy("element").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("element")
-            members = rooted.join(mixed, "element", "left_semi")
-        else:
-            members = members.withColumn("root", F.col("node"))
         central = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= upto).where(F.col("rank") > done)
-        central = central.select("element", F.col("node").alias("b"), F.col("root").alias("b_root"))
-        pairs = members.join(central, "element").where("root <> b_root").select(F.least("node", "b").alias("x"), F.greatest("node", "b").alias("y"))
-        pairs = cut(pairs.distinct().select(F.col("x").alias("a"), F.col("y").alias("b")))
-        if pairs.isEmpty():
-            break
+        central = central.select("element", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
+        # texts of lengths further apart can't reach the threshold
+        alike = F.least("size", "b_size") >= threshold * F.greatest("size", "b_size") - 1e-9
+        pairs = members.join(central, "element").where((F.col("root") != F.col("b_root")) & alike)
+        ends = F.sort_array(F.array(F.struct("node", "root"), F.struct(F.col("b").alias("node"), F.col("b_root").alias("root"))))
+        pairs = pairs.select(ends.alias("e")).distinct()
+        pairs = cut(pairs.select(*[F.col("e")[i][c].alias(n) for i, c, n in ((0, "node", "a"), (1, "node", "b"), (0, "root", "a_root"), (1, "root", "b_root"))]))
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
         both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-        found = cut(_similarities(both, threshold).where("similarity > 0").select("a", "b"))
-        if found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        done, upto = upto, 2 * upto
-    return roots
+        joined = components(_similarities(both, threshold).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+        if joined.isEmpty():
+            return roots
+        moved = joined.withColumnRenamed("root", "to")
+        if roots is None:
+            roots = joined
+        else:
+            old = roots.join(moved.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+            roots = cut(old.unionByName(joined.join(roots.select("node"), "node", "left_anti")))
+        # only buckets with texts of several classes go on
+        now = cut(members.join(moved.withColumnRenamed("node", "root"), "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"))
+        mixed = now.groupBy("element").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+        members = cut(now.join(mixed.select("element"), "element", "left_semi"))
+        done, upto = upto, 2 * upto + 1
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -220,14 +234,14 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     row and row2 identify the rows that are equal in all of docs' columns.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), *_keyed(docs, text))
-    sketched = cut(rows.select("doc_id", "node", "row", "row2", _elements(F.col("said")).alias("elements")))
-    nodes = sketched.groupBy("node").agg(F.min(F.struct("row", "row2")).alias("r"), F.first("elements").alias("elements"))
+    sketched = cut(rows.select("doc_id", "node", "row", "row2", _elements(F.col("said")).alias("s")))
+    nodes = sketched.groupBy("node").agg(F.min(F.struct("row", "row2")).alias("r"), F.first("s").alias("s")).select("node", "r", "s.*")
     buckets = _buckets(nodes)
     # one row stands for all equal texts; equal rows are found more than once and taken once
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "r.row", "r.row2")
     texts = rows.select("said", "row", "row2").join(wanted, ["row", "row2"]).groupBy("row", "row2", "node").agg(F.first("said").alias("text"))
     roots = _links(buckets, cut(texts.select("node", "text")), threshold)
-    slim = sketched.drop("elements")
+    slim = sketched.drop("s")
     if roots is None:
         return slim.withColumn("root", F.col("node"))
     return slim.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
