@@ -12,8 +12,10 @@ from tideline.plans.catalog import query
 from tideline.plans.queries_daily import LEDGER, _ledger
 from tideline.plans.queries_dedup import _DECIDED, _process
 from tideline.plans.queries_subjects import _DIMENSION, _dimension
-from tideline.session import cut
-from tideline.sources import adapters
+from tideline.plans.tables import Tables
+from tideline.session import cut, new_folder
+from tideline.sources import adapters, envelope
+from tideline.streaming import jobs
 
 
 def _events(spark, sf_dir):
@@ -72,6 +74,32 @@ def ingested_tables(spark, sf_dir):
     )
 
 
+@query(
+    "J1 I1 I5 C9",
+    _DECIDED
+    + """
+, ok as (select * from decided where outcome = 'inserted')
+select 'events' as what, case when event_source = 'server' then 'server' else 'web' end as label, count(*) as rows from ok group by 2
+union all select 'rejected', reason, count(*) from decided where reason is not null group by 2
+""",
+)
+def streamed_tables(spark, sf_dir):
+    """Rows of the stored tables after the stream's batch job has taken the messages of each half month."""
+    raw = adapters.raw(spark, sf_dir)
+    messages = cut(raw.select(
+        "stream_id", envelope.to_message(raw).alias("payload"), F.lit(None).cast("int").alias("delivery_count"), "received_at"
+    ))
+    tables = Tables(spark, new_folder(spark))
+    later = F.col("received_at") >= F.lit(datetime(2024, 1, 16, tzinfo=timezone.utc))
+    for batch_id, part in enumerate((messages.where(~later), messages.where(later))):
+        jobs.process_batch(tables, part.drop("received_at"), batch_id, base.sites(spark, sf_dir), [], base.definitions(spark), adapters.REVISION)
+    events = tables.read("events").groupBy(F.col("event_source").alias("label")).agg(F.count(F.lit(1)).alias("rows"))
+    rejected = tables.read("rejected").groupBy(F.col("reason").alias("label")).agg(F.count(F.lit(1)).alias("rows"))
+    return events.select(F.lit("events").alias("what"), "label", "rows").unionByName(
+        rejected.select(F.lit("rejected").alias("what"), "label", "rows")
+    )
+
+
 @query(
     "H8 K1",
     base.FACTS

@@ -69,6 +69,11 @@ def _stage_dir(spark: SparkSession) -> str:
     return join_path(shared_dir(spark), "tideline-stage", spark.sparkContext.applicationId)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own among this application's cuts."""
+    return join_path(_stage_dir(spark), uuid.uuid4().hex)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes an intermediate result to the shared folder and reads it back without its lineage.
 
@@ -76,7 +81,7 @@ def cut(df: DataFrame) -> DataFrame:
     broadcasts what is small. All cuts of an application lie in one folder; see drop_cuts.
     """
     spark = df.sparkSession
-    path = join_path(_stage_dir(spark), uuid.uuid4().hex)
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
