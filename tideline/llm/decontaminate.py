@@ -28,7 +28,7 @@ EDITS = 0.08
 LEAST = 20
 
 #: Characters of benchmark that are broadcast at once; a larger benchmark is searched for in several such parts.
-PART_CHARS = 4_000_000
+PART_CHARS = 1_000_000
 
 #: Characters of documents that a task looks at together.
 CHUNK = 1 << 20
