@@ -11,8 +11,8 @@ pair can reach. Classes are the connected components of the links; equal texts a
 
 A linked pair shares no element with probability (1 - s ** LEAST) ** ELEMENTS, 5e-6 at s = 0.8, and then can
 still be in one class through others. In a bucket of texts with a common element, members are compared with the
-most central one, that is the one that shares most elements with others; buckets whose members are in several classes
-go on with the next two, four and so on, as long as that joins any classes. So no bucket's pairs are all made, however large it is.
+most central one, that is the one that shares most elements with others; then those of another class are compared with the
+next two, four and so on, as long as that joins any classes. So no bucket's pairs are all made, however large it is.
 
 Null texts count as empty; texts without a word are similar only to equal ones. Texts are read whole. Null ids are
 allowed: such rows have a class like any others, and a class of only such rows has a null class_id. Repeated rows have one
@@ -41,7 +41,7 @@ ELEMENTS = 24
 THRESHOLD = 0.8
 
 #: Words whose hash a worker remembers before it starts anew.
-MEMO = 400_000
+MEMO = 150_000
 
 _RNG = np.random.default_rng(20)
 _SEEDS = _RNG.integers(0, 1 << 63, ELEMENTS, "u8") * np.uint64(2) + np.uint64(1)
@@ -221,10 +221,7 @@ def _links(buckets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
         else:
             old = roots.join(moved.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
             roots = cut(old.unionByName(joined.join(roots.select("node"), "node", "left_anti")))
-        # only buckets with texts of several classes go on
-        now = cut(members.join(moved.withColumnRenamed("node", "root"), "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"))
-        mixed = now.groupBy("element").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-        members = cut(now.join(mixed.select("element"), "element", "left_semi"))
+        members = cut(members.join(moved.withColumnRenamed("node", "root"), "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"))
         done, upto = upto, 2 * upto + 1
 
 
