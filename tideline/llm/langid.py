@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RESULT = "struct<lang: string, score: double, confident: boolean>"
@@ -34,26 +34,27 @@ def letters(text: str) -> str:
 
 
 def fit(
-    docs: DataFrame, text: str = "text", lang: str = "lang", texts_per_language: int = 400, dictionary_bytes: int = 65_536, most_languages: int = 400
+    docs: DataFrame, text: str = "text", lang: str = "lang", texts_per_language: int = 400, dictionary_bytes: int = 65_536, most_languages: int = 200
 ) -> dict[str, bytes]:
     """Sample texts of each language as one byte string. docs are the rows that may be learnt from.
 
-    Texts are chosen by the hash of what they say, so the choice doesn't depend on how the rows are stored, and copies
-    are taken once. Of a long text an even share of the dictionary is taken from its middle.
+    Texts are dealt into texts_per_language groups by the hash of what they say, and the smallest hash of each group
+    is taken; that takes copies once, doesn't depend on how rows are stored, and sums up before anything is shuffled. Of a
+    long text an even share of the dictionary is taken from its middle.
     """
     share = dictionary_bytes * 4 // texts_per_language
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text rlike '\\\\p{L}'")
     middle = F.greatest(F.lit(1), F.floor((F.length("text") - share) / 2)).cast("int")
     rows = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", middle, F.lit(share)).alias("text"))
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    chosen = rows.where(F.length("text") > 0).withColumn("n", F.dense_rank().over(first)).where(F.col("n") <= texts_per_language)
-    found = chosen.groupBy("lang", "n").agg(F.min("text").alias("text")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("n", "text"))).alias("texts"))
-    out = {}
-    for row in found.orderBy("lang").limit(most_languages + 1).toLocalIterator():
-        if len(out) == most_languages:
+    group = F.pmod("h", F.lit(texts_per_language)).alias("n")
+    chosen = rows.groupBy("lang", group).agg(F.min(F.struct("h", "text")).alias("t")).select("lang", "n", "t.text")
+    # at most texts_per_language short texts a language
+    out: dict[str, list[str]] = {}
+    for row in chosen.orderBy("lang", "n").toLocalIterator():
+        out.setdefault(row["lang"], []).append(letters(row["text"]))
+        if len(out) > most_languages:
             raise ValueError(f"more than {most_languages} languages")
-        out[row["lang"]] = " ".join(letters(t["text"]) for t in row["texts"]).encode()[:dictionary_bytes]
-    return out
+    return {name: " ".join(texts).encode()[:dictionary_bytes] for name, texts in out.items()}
 
 
 class Classifier:
