@@ -21,8 +21,8 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Entries of each per-worker memo before it starts anew. Memos only save work.
-MEMO = 400_000
+#: Entries of each memo of a task before it starts anew. Memos only save work.
+MEMO = 200_000
 
 
 class Bpe:
@@ -166,7 +166,7 @@ class Bpe:
                 del self._pieces[piece]
         return out
 
-    def encode_stream(self, texts: Iterable[str], size: int = 2_000_000) -> Iterator[bytes]:
+    def encode_stream(self, texts: Iterable[str], size: int = 1_000_000) -> Iterator[bytes]:
         """encode() over portions of about that many characters, so that memory stays bounded."""
         portion, chars = [], 0
         for text in texts:
@@ -177,6 +177,10 @@ class Bpe:
                 portion, chars = [], 0
         yield from self.encode(portion)
 
+    def forget(self) -> None:
+        """Drops the memos, so that a worker that goes on to other work keeps the vocabulary alone."""
+        self._pieces, self._pairs = {}, {}
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -228,8 +232,11 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = loaded(path, pattern)
-        for batch in batches:
-            yield pa.array(bpe.encode_stream(t.as_py() or "" for t in batch), pa.binary(), size=len(batch))
+        try:
+            for batch in batches:
+                yield pa.array(bpe.encode_stream(t.as_py() or "" for t in batch), pa.binary(), size=len(batch))
+        finally:
+            bpe.forget()
 
     return ids(text)
 

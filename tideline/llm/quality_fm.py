@@ -31,7 +31,7 @@ BINS = 12
 WORD_BUCKETS = 4096
 
 #: Words whose bucket a worker remembers before it starts anew.
-MEMO = 400_000
+MEMO = 150_000
 
 _SYMBOLS, _MARKS = list(b"#*$%&|<>@^~_=+{}[]\\"), list(b"!?.,;:")
 
