@@ -22,7 +22,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Entries of each memo of a task before it starts anew. Memos only save work.
-MEMO = 200_000
+MEMO = 400_000
 
 
 class Bpe:
@@ -166,7 +166,7 @@ class Bpe:
                 del self._pieces[piece]
         return out
 
-    def encode_stream(self, texts: Iterable[str], size: int = 1_000_000) -> Iterator[bytes]:
+    def encode_stream(self, texts: Iterable[str], size: int = 2_000_000) -> Iterator[bytes]:
         """encode() over portions of about that many characters, so that memory stays bounded."""
         portion, chars = [], 0
         for text in texts:
