@@ -69,6 +69,30 @@ def test_one_large_group_of_near_copies(spark):
     assert got == plain_classes(rows)
 
 
+def test_pairs_in_buckets_of_unlike_texts(spark):
+    rnd = random.Random(5)
+
+    def fresh(n):
+        return [f"x{rnd.randint(0, 10**9)}" for _ in range(n)]
+
+    shared, rows = fresh(344), []
+    for i in range(100):
+        own = fresh(16)
+        for k in range(2):
+            rows.append((2 * i + k, " ".join([*shared, *own, *fresh(40)])))
+    got = {r.doc_id: r.class_id for r in order_minhash.class_ids(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_classes(rows) and len(set(got.values())) == 100
+
+
+def test_short_texts_of_unequal_length(spark):
+    rnd, rows = random.Random(9), []
+    for i in range(1500):
+        words = [f"x{rnd.randint(0, 10**9)}" for _ in range(9)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:8]))]
+    got = {r.doc_id: r.class_id for r in order_minhash.class_ids(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_classes(rows)
+
+
 def test_similarity_is_of_order():
     words = order_minhash.Words()
     a = order_minhash.shingles(" ".join(map(str, range(100))), words)

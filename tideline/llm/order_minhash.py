@@ -10,9 +10,16 @@ the labelled shingles and equals it where nothing has moved. The chain is sought
 pair can reach. Classes are the connected components of the links; equal texts are in one class in any case.
 
 A linked pair shares no element with probability (1 - s ** LEAST) ** ELEMENTS, 5e-6 at s = 0.8, and then can
-still be in one class through others. In a bucket of texts with a common element, members are compared with the
-most central one, that is the one that shares most elements with others; then those of another class are compared with the
-next two, four and so on, as long as that joins any classes. So no bucket's pairs are all made, however large it is.
+still be in one class through others. Texts of up to SHORT shingles, where draws without replacement make that worse, also
+have their first shingles in order of hash as elements, so no such pair is lost. In a bucket of texts with a common element,
+members are compared with the most central one, that is the one that shares most elements with others; then those of another
+class are compared with the next two, four and so on, as long as that joins any classes anywhere.
+
+Buckets that still hold several classes and members not yet compared go through an exact join. Shingles are put in an order
+with rare ones first. Of the chain of a linked pair of n and m shingles, at least A = t / (1 + t) * (n + m) long, the first
+one in that order is among the first n - A + 1 shingles of the one and m - A + 1 of the other, on diagonals at most
+n + m - 2 * A apart in the texts. So texts of different classes are candidates if they have such a shingle, and no linked pair
+of the buckets is lost. Groups of one class make no pairs, and the largest class of a group isn't paired with itself.
 
 Null texts count as empty; texts without a word are similar only to equal ones. Texts are read whole. Null ids are
 allowed: such rows have a class like any others, and a class of only such rows has a null class_id. Repeated rows have one
@@ -39,6 +46,10 @@ K = 5
 LEAST = 4
 ELEMENTS = 24
 THRESHOLD = 0.8
+SHORT = 16
+
+#: Counters for how many texts have a shingle; shingles that share one only look more frequent than they are.
+SLOTS = 1 << 20
 
 #: Words whose hash a worker remembers before it starts anew.
 MEMO = 150_000
@@ -87,7 +98,12 @@ def shingles(text: str, words: Words) -> np.ndarray:
     return out
 
 
-def sketch(labelled: np.ndarray) -> np.ndarray:
+def _first(n: int, threshold: float) -> int:
+    """So many of a text's shingles, in an order that all texts have in common, hold one of any pair's chain."""
+    return n - int(np.ceil(threshold * n - 1e-9)) + 1
+
+
+def sketch(labelled: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
     """The elements of a text, as 64-bit hashes; none for a text without words."""
     n = len(labelled)
     if not n:
@@ -105,6 +121,8 @@ def sketch(labelled: np.ndarray) -> np.ndarray:
             for i in range(chosen.shape[1]):
                 element = _mix(element * _BASE + chosen[:, i])
             out.append(element)
+        if n <= SHORT:
+            out.append(_mix(np.sort(labelled)[: _first(n, threshold)] + _BASE))
     return np.unique(np.concatenate(out)).view("i8")
 
 
@@ -138,7 +156,7 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     return value if value >= threshold - 1e-12 else 0.0
 
 
-def _elements(text: Column) -> Column:
+def _elements(text: Column, threshold: float) -> Column:
     """The number of shingles and the elements."""
 
     @F.arrow_udf("struct<size: int, elements: array<bigint>>")
@@ -149,7 +167,7 @@ def _elements(text: Column) -> Column:
             for text in batch:
                 labelled = shingles(text.as_py(), words)
                 sizes.append(len(labelled))
-                rows.append(sketch(labelled))
+                rows.append(sketch(labelled, threshold))
             offsets = np.cumsum([0, *map(len, rows)]).astype("i4")
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, "i8")))
             yield pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), lists], names=["size", "elements"])
@@ -197,6 +215,80 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return cut(members.withColumn("root", F.col("node")))
 
 
+def _joined(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(node, root) over the roots that the pairs (node, root, b, b_root) link."""
+    ends = F.sort_array(F.array(F.struct("node", "root"), F.struct(F.col("b").alias("node"), F.col("b_root").alias("root"))))
+    pairs = pairs.select(ends.alias("e")).distinct()
+    pairs = cut(pairs.select(*[F.col("e")[i][c].alias(n) for i, c, n in ((0, "node", "a"), (1, "node", "b"), (0, "root", "a_root"), (1, "root", "b_root"))]))
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
+    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
+    return components(_similarities(both, threshold).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+
+
+def _slots(labelled: np.ndarray) -> np.ndarray:
+    return (labelled >> np.uint64(32)).astype("i8") % SLOTS
+
+
+def _counts(texts: DataFrame) -> np.ndarray:
+    """For each slot, how many texts have its shingles."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, n = Words(), np.zeros(SLOTS, "i8")
+        for batch in batches:
+            for text in batch.column("text"):
+                np.add.at(n, _slots(shingles(text.as_py(), words)), 1)
+        slots = np.flatnonzero(n)
+        for at in range(0, len(slots), 1 << 16):
+            part = slots[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(n[part])], names=["slot", "n"])
+
+    found = texts.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, "i8")
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def _rare(texts: DataFrame, threshold: float) -> DataFrame:
+    """(shingle, node, root, size, rank, place): each text's first shingles, rare ones first, but for those that no other has."""
+    shared = texts.sparkSession.sparkContext.broadcast(_counts(texts))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = Words(), shared.value
+        for batch in batches:
+            for node, root, text in zip(batch.column("node"), batch.column("root"), batch.column("text")):
+                labelled = shingles(text.as_py(), words)
+                n, often = len(labelled), counts[_slots(labelled)]
+                places = np.lexsort((labelled, often))[: _first(n, threshold)]
+                ranks = np.flatnonzero(often[places] > 1)
+                places = places[ranks]
+                columns = [
+                    pa.array(labelled[places].view("i8")), pa.array([node.as_py()] * len(ranks), pa.binary()), pa.array([root.as_py()] * len(ranks), pa.binary()),
+                    pa.array(np.full(len(ranks), n), pa.int32()), pa.array(ranks, pa.int32()), pa.array(places, pa.int32()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["shingle", "node", "root", "size", "rank", "place"])
+
+    own = texts.select("node", "root", "text")
+    return own.mapInArrow(first, "shingle long, node binary, root binary, size int, rank int, place int")
+
+
+def _rest(members: DataFrame, texts: DataFrame, threshold: float, done: int) -> DataFrame:
+    """(node, root, b, b_root): the candidates among members of buckets that aren't of one class and not compared as a whole."""
+    buckets = members.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
+    open_ = buckets.where((F.col("n") > done + 1) & (F.col("least") != F.col("most"))).select("element")
+    nodes = members.join(open_, "element", "left_semi").select("node", "root").distinct()
+    rare = cut(_rare(cut(nodes.join(texts, "node")), threshold))
+    each = rare.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
+    groups = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "root"))["root"].alias("largest"))
+    grouped = cut(rare.join(groups.where("classes > 1").select("shingle", "largest"), "shingle"))
+    others = grouped.where(F.col("root") != F.col("largest")).drop("largest")
+    any_ = grouped.select("shingle", "largest", *[F.col(c).alias(n) for c, n in (("node", "b"), ("root", "b_root"), ("size", "m"), ("rank", "b_rank"), ("place", "b_place"))])
+    chain = F.lit(threshold / (1 + threshold)) * (F.col("size") + F.col("m")) - 1e-9
+    near = F.abs(F.col("place") - F.col("b_place")) <= F.col("size") + F.col("m") - 2 * chain
+    reach = (F.col("size") - F.col("rank") >= chain) & (F.col("m") - F.col("b_rank") >= chain)
+    once = (F.col("b_root") == F.col("largest")) | (F.col("node") < F.col("b"))
+    return others.join(any_, "shingle").where((F.col("root") != F.col("b_root")) & once & reach & near).select("node", "root", "b", "b_root")
+
+
 def _links(buckets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
     """(node, root) over all texts that are linked to another one."""
     order = Window.partitionBy("element").orderBy(F.desc("weight"), "node")
@@ -207,20 +299,20 @@ def _links(buckets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
         # texts of lengths further apart can't reach the threshold
         alike = F.least("size", "b_size") >= threshold * F.greatest("size", "b_size") - 1e-9
         pairs = members.join(central, "element").where((F.col("root") != F.col("b_root")) & alike)
-        ends = F.sort_array(F.array(F.struct("node", "root"), F.struct(F.col("b").alias("node"), F.col("b_root").alias("root"))))
-        pairs = pairs.select(ends.alias("e")).distinct()
-        pairs = cut(pairs.select(*[F.col("e")[i][c].alias(n) for i, c, n in ((0, "node", "a"), (1, "node", "b"), (0, "root", "a_root"), (1, "root", "b_root"))]))
-        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
-        both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-        joined = components(_similarities(both, threshold).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
-        if joined.isEmpty():
-            return roots
+        joined = _joined(pairs, texts, threshold)
+        last = joined.isEmpty()
+        if last:
+            joined = _joined(_rest(members, texts, threshold, upto), texts, threshold)
+            if joined.isEmpty():
+                return roots
         moved = joined.withColumnRenamed("root", "to")
         if roots is None:
             roots = joined
         else:
             old = roots.join(moved.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
             roots = cut(old.unionByName(joined.join(roots.select("node"), "node", "left_anti")))
+        if last:
+            return roots
         members = cut(members.join(moved.withColumnRenamed("node", "root"), "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"))
         done, upto = upto, 2 * upto + 1
 
@@ -231,7 +323,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     row and row2 identify the rows that are equal in all of docs' columns.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), *_keyed(docs, text))
-    sketched = cut(rows.select("doc_id", "node", "row", "row2", _elements(F.col("said")).alias("s")))
+    sketched = cut(rows.select("doc_id", "node", "row", "row2", _elements(F.col("said"), threshold).alias("s")))
     nodes = sketched.groupBy("node").agg(F.min(F.struct("row", "row2")).alias("r"), F.first("s").alias("s")).select("node", "r", "s.*")
     buckets = _buckets(nodes)
     # one row stands for all equal texts; equal rows are found more than once and taken once
