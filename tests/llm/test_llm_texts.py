@@ -72,6 +72,16 @@ def test_pii_disguises_map_back_to_the_source():
         assert pii.find(text) == []
 
 
+def test_pii_no_rule_applies_without_a_hint():
+    text = "call plus 49 151 23456789 now"
+    assert [(kind, text[a:b]) for kind, a, b, _ in pii.find(text)] == [("phone", "plus 49 151 23456789")]
+    rnd = random.Random(8)
+    pieces = ["plus", "Plus", "one", "zwei", "sept", "oh", "4", "49", "at", "@", "dot", "punkt", ".", "[", "]", "(", ")", " ", " ", " ", " ", "  ", "-", "x", "a.b"]
+    for _ in range(40_000):
+        text = "".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 12)))
+        assert pii._HINT.search(text) or not pii._RULES.search(text), text
+
+
 def test_pii_query(spark):
     texts = dict(documents(spark))
     for r in op2_pii(spark, SF).collect():

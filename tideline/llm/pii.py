@@ -112,7 +112,11 @@ _RULES = re.compile(
     re.IGNORECASE,
 )
 #: What a text must have for a word rule to apply; cheap enough to look for in every text.
-_HINT = re.compile(rf"{_OPEN}[ ]*(?:{_AT}|{_DOT}|@|\.)[ ]*{_CLOSE}|[ ]{_DOT}[ ]|(?<!\w){_WORD}[ -]{_WORD}[ -]{_WORD}(?!\w)", re.IGNORECASE)
+_HINT = re.compile(
+    rf"{_OPEN}[ ]*(?:{_AT}|{_DOT}|@|\.)[ ]*{_CLOSE}|[ ]{_DOT}[ ]|(?<!\w){_WORD}[ -]{_WORD}[ -]{_WORD}(?!\w)"
+    rf"|(?<!\w)plus[ ]+(?:{_WORD}(?!\w)|[0-9])",
+    re.IGNORECASE,
+)
 _INVISIBLE = "­​‌‍⁠﻿"
 _OTHER = re.compile(f"[{''.join(_LOOKALIKES)}{_INVISIBLE}！-～٠-٩۰-۹०-९⁰-₉²³¹]")
 
