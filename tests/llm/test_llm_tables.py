@@ -172,6 +172,25 @@ def test_filter_loses_no_window_within_its_budget():
             assert bool(windows.search([doc])[0]) == expect
 
 
+def test_excerpts_at_every_offset():
+    rnd = random.Random(7)
+    item = " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(80))
+    around = ["".join(rnd.choice("klmnopq ") for _ in range(200)) for _ in range(2)]
+    windows = decontaminate.Windows.of([(7, item)])
+    begins = [0, *(i + 1 for i, c in enumerate(item) if c == " ")]
+    for size in (70, 90, 115):
+        for at in begins:
+            end = item.find(" ", at + size)
+            if end >= 0:
+                doc = f"{around[0]} {item[at:end]} {around[1]}"
+                hits = windows.search([doc])[0]
+                assert [h[0] for h in hits] == [7] and abs(hits[0][1] - 201) <= 12 and abs(hits[0][2] - 201 - (end - at)) <= 12
+    # a place at the beginning of a text, wherever the text lies in its chunk
+    for before in range(40):
+        for lead in ("", "a ", "some words "):
+            assert windows.search(["x" * before, lead + item[:64]])[1], (before, lead)
+
+
 def bytes_of(codes):
     return "".join(map(chr, codes.tolist()))
 

@@ -1,10 +1,11 @@
 """Benchmark passages in documents: q-gram lemma filter over diagonal bands, then banded alignment.
 
-Texts are compared as letters and digits in lower case with one space for anything else. Each benchmark item is cut
-into overlapping windows of WINDOW characters (a shorter item is one window). A window of n characters occurs in a
+Texts are compared as letters and digits in lower case with one space for anything else. Each benchmark item is looked
+for by windows of WINDOW characters and of SHORT ones that start at every word (an item that is shorter than a window is a
+window itself), so whether an excerpt is found doesn't depend on where it begins. A window of n characters occurs in a
 text if some part of it aligns with at most e = EDITS * n edits; by the q-gram lemma such a part shares at least
-n - Q + 1 - Q * e q-grams with it, on diagonals at most 2 * e apart. So shared q-grams are counted in bands of
-2 * (2 * e + 1) diagonals that overlap by half, bands below the bound are dropped, and the rest are aligned.
+n - Q + 1 - Q * e q-grams with it, on diagonals at most 2 * e apart. So q-grams that a text shares with an item are put
+into bands of 2 * (2 * e + 1) diagonals that overlap by half, and windows that hold their bound of one band's are aligned.
 
 Items of fewer than LEAST characters in that form are too short to judge and never occur; null items likewise. A null text
 counts as empty and has no hits. Texts are searched whole. Repeated rows get repeated results. Copies of an item
@@ -14,6 +15,7 @@ give a hit each, and an item without id one with a null item_id. An empty benchm
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 Q = 10
 WINDOW = 100
+SHORT = 60
 EDITS = 0.08
 LEAST = 20
 
@@ -33,6 +36,9 @@ PART_CHARS = 1_000_000
 #: Characters of documents that a task looks at together.
 CHUNK = 1 << 20
 
+#: Windows whose letters a worker remembers before it starts anew.
+MEMO = 2_000
+
 HITS = "array<struct<item_id: bigint, start: int, end: int, edits: int>>"
 _HIT = pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())])
 
@@ -65,44 +71,50 @@ def grams(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Windows:
-    """ids: of the items, which may be null. items: the item of each window, as its place in ids. texts: their characters. e: their edit budgets. least: their q-gram bounds."""
+    """ids: of the items, which may be null. codes: their characters. sizes, budgets, least: for the longer and the shorter windows of each item, their characters, edit budgets and q-gram bounds."""
 
     ids: list[int | None]
-    items: list[int]
-    texts: list[np.ndarray]
-    e: np.ndarray
+    codes: list[np.ndarray]
+    sizes: np.ndarray
+    budgets: np.ndarray
     least: np.ndarray
     keys: np.ndarray
     begin: np.ndarray
-    window: np.ndarray
+    item: np.ndarray
     offset: np.ndarray
     seen: np.ndarray
-    masks: dict[int, dict[int, int]] = field(default_factory=dict)
+    masks: dict[tuple[int, int, int], dict[int, int]] = field(default_factory=dict)
 
     @classmethod
     def of(cls, rows: Iterable[tuple[int, str]]) -> Windows:
-        ids, items, texts = [], [], []
+        ids, texts = [], []
         for item, text in rows:
-            ids.append(item)
             codes = _codes(plain(text))
             if len(codes) >= LEAST:
-                for start in {*range(0, max(1, len(codes) - WINDOW), WINDOW // 2), max(0, len(codes) - WINDOW)}:
-                    items.append(len(ids) - 1)
-                    texts.append(codes[start : start + WINDOW])
-        sizes = np.array([len(t) for t in texts], "i8")
+                ids.append(item)
+                texts.append(codes)
+        lengths = np.array([len(t) for t in texts], "i8")
+        sizes = np.stack([np.minimum(lengths, WINDOW), np.minimum(lengths, SHORT)])
         e = (EDITS * sizes).astype("i8")
         each = [grams(t) for t in texts]
         hashes = np.concatenate(each) if each else np.zeros(0, "u8")
-        window = np.repeat(np.arange(len(texts)), [len(g) for g in each]) if each else np.zeros(0, "i8")
-        offset = np.concatenate([np.arange(len(g)) for g in each]) if each else np.zeros(0, "i8")
+        item = np.repeat(np.arange(len(texts), dtype="i4"), [len(g) for g in each]) if each else np.zeros(0, "i4")
+        offset = np.concatenate([np.arange(len(g), dtype="i4") for g in each]) if each else np.zeros(0, "i4")
         order = np.argsort(hashes, kind="stable")
         keys, begin = np.unique(hashes[order], return_index=True)
         seen = np.zeros(1 << 22, bool)
         seen[(keys & np.uint64(len(seen) - 1)).astype("i8")] = True
-        return cls(ids, items, texts, e, sizes - Q + 1 - Q * e, keys, np.append(begin, len(hashes)), window[order], offset[order], seen)
+        least = np.maximum(1, sizes - Q + 1 - Q * e)
+        return cls(ids, texts, sizes, e, least, keys, np.append(begin, len(hashes)), item[order], offset[order], seen)
+
+    def starts(self, item: int, size: int) -> np.ndarray:
+        """Where the item's windows of this size start: at every word, every half WINDOW, and so that the last one ends with the item."""
+        codes, last = self.codes[item], len(self.codes[item]) - size
+        words = np.append(0, np.flatnonzero(codes == 32) + 1)
+        return np.unique(np.concatenate([words[words < last], np.arange(0, max(1, last), WINDOW // 2), [last]]))
 
-    def bands(self, codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(window, first diagonal, end of diagonals) of the bands that reach the window's bound."""
+    def bands(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, list[int], int, int]]:
+        """(item, size, edit budget, starts, first diagonal, end of diagonals) of the windows that reach their bound in a band."""
         found = grams(codes)
         places = np.flatnonzero(self.seen[(found & np.uint64(len(self.seen) - 1)).astype("i8")])
         if not len(places) or not len(self.keys):
@@ -110,26 +122,76 @@ class Windows:
         k = np.minimum(np.searchsorted(self.keys, found[places]), len(self.keys) - 1)
         true = self.keys[k] == found[places]
         places, k = places[true], k[true]
+        if not len(places):
+            return
         n = self.begin[k + 1] - self.begin[k]
         post = np.repeat(self.begin[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        window = self.window[post]
-        step = 2 * self.e[window] + 1
-        # offsets are below WINDOW, so this keeps diagonals and band numbers positive
-        band = (np.repeat(places, n) - self.offset[post] + WINDOW) // step + 1
-        keys, count = np.unique(np.concatenate([window << 40 | band, window << 40 | (band - 1)]), return_counts=True)
-        for key in keys[count >= self.least[keys >> 40]].tolist():
-            w, b = key >> 40, (key & (1 << 40) - 1) - 1
-            first = b * int(2 * self.e[w] + 1) - WINDOW
-            yield w, first, first + 2 * int(2 * self.e[w] + 1)
-
-    def occurs(self, w: int, region: list[int]) -> bool:
+        item, offset = self.item[post].astype("i8"), self.offset[post].astype("i8")
+        # offsets are below shift, so this keeps diagonals and band numbers positive
+        shift = max(map(len, self.codes))
+        band = (np.repeat(places, n) - offset + shift) // (2 * self.budgets[0][item] + 1) + 1
+        keys, offset = np.concatenate([item << 40 | band, item << 40 | (band - 1)]), np.append(offset, offset)
+        # bands with too few shared grams go before the sort by offset
+        _, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
+        enough = count[inverse] >= self.least.min(axis=0)[keys >> 40]
+        keys, offset = keys[enough], offset[enough]
+        order = np.lexsort((offset, keys))
+        keys, offset = keys[order], offset[order]
+        item = keys >> 40
+        for kind in (0, 1):
+            size, least = self.sizes[kind][item], self.least[kind][item]
+            upto = np.arange(len(keys)) + least - 1
+            end = np.minimum(upto, len(keys) - 1)
+            # so many grams from this one on lie in one window
+            ok = (upto < len(keys)) & (keys[end] == keys) & (offset[end] - offset <= size - Q)
+            if kind:
+                ok &= size < self.sizes[0][item]
+            at = np.flatnonzero(ok)
+            if not len(at):
+                continue
+            for part in np.split(at, np.flatnonzero(np.diff(keys[at])) + 1):
+                key = int(keys[part[0]])
+                i, b = key >> 40, (key & (1 << 40) - 1) - 1
+                w, step = int(self.sizes[kind][i]), int(2 * self.budgets[0][i] + 1)
+                starts = self.starts(i, w)
+                low = np.searchsorted(starts, offset[end[part]] - (w - Q))
+                high = np.searchsorted(starts, offset[part], "right")
+                # starts in any of the ranges low to high
+                open_ = np.zeros(len(starts) + 1, "i8")
+                np.add.at(open_, low[low < high], 1)
+                np.add.at(open_, high[low < high], -1)
+                chosen = starts[np.cumsum(open_[:-1]) > 0].tolist()
+                if chosen:
+                    yield i, w, int(self.budgets[kind][i]), chosen, b * step - shift, b * step - shift + 2 * step
+
+    def _all(self) -> Iterator[tuple[int, int, int, int]]:
+        """(item, size, start, edit budget) of every window."""
+        for i in range(len(self.ids)):
+            for kind in (0, 1):
+                size = int(self.sizes[kind][i])
+                if not kind or size < self.sizes[0][i]:
+                    yield from ((i, size, at, int(self.budgets[kind][i])) for at in self.starts(i, size).tolist())
+
+    @property
+    def texts(self) -> list[np.ndarray]:
+        """The characters of every window."""
+        return [self.codes[i][at : at + size] for i, size, at, _ in self._all()]
+
+    @property
+    def e(self) -> list[int]:
+        """The edit budget of every window."""
+        return [e for *_, e in self._all()]
+
+    def occurs(self, w: tuple[int, int, int], text: np.ndarray, e: int, region: list[int]) -> bool:
         """Whether the window occurs somewhere in the region within its budget: one column of the alignment a step, as bits."""
         masks = self.masks.get(w)
         if masks is None:
+            if len(self.masks) >= MEMO:
+                self.masks.clear()
             masks = self.masks[w] = {}
-            for i, c in enumerate(self.texts[w].tolist()):
+            for i, c in enumerate(text.tolist()):
                 masks[c] = masks.get(c, 0) | 1 << i
-        n, e, get = len(self.texts[w]), int(self.e[w]), masks.get
+        n, get = len(text), masks.get
         every, last, score = (1 << n) - 1, 1 << (n - 1), n
         more, less = every, 0
         for c in region:
@@ -147,14 +209,27 @@ class Windows:
             more, less = (low | ~(down | up)) & every, up & down & every
         return False
 
-    def align(self, w: int, codes: np.ndarray, first: int, end: int) -> tuple[int, int, int] | None:
-        """(start, end, edits) of the window's best place on the diagonals first to end, or None beyond its budget."""
-        text, e = self.texts[w], int(self.e[w])
+    def possible(self, item: int, size: int, e: int, ats: list[int], codes: np.ndarray, first: int, end: int) -> list[int]:
+        """The starts without those of neighbouring windows whose common part already takes too many edits."""
+        out, k = [], 0
+        while k < len(ats):
+            upto = bisect_right(ats, ats[k] + size // 3)
+            low, high = ats[upto - 1], ats[k] + size
+            region = codes[max(0, first + low - e) : max(0, end + high + e)]
+            common = self.codes[item][low:high]
+            if upto - k == 1 or self.occurs((item, high - low, low), common, e, region.tolist()):
+                out += ats[k:upto]
+            k = upto
+        return out
+
+    def align(self, w: tuple[int, int, int], e: int, codes: np.ndarray, first: int, end: int) -> tuple[int, int, int] | None:
+        """(start, end, edits) of the best place of the window w, an (item, size, start), on the diagonals first to end, or None beyond its budget."""
+        text = self.codes[w[0]][w[2] : w[2] + w[1]]
         from_, to = max(0, first), max(0, min(len(codes), end + len(text)))
         same = codes[from_:to].tobytes().find(text.tobytes())
         if same >= 0 and same % 4 == 0:
             return from_ + same // 4, from_ + same // 4 + len(text), 0
-        if not self.occurs(w, codes[max(0, first - e) : max(0, end + len(text) + e)].tolist()):
+        if not self.occurs(w, text, e, codes[max(0, first - e) : max(0, end + len(text) + e)].tolist()):
             return None
         width = end - first + 2 * e
         steps = np.arange(width)
@@ -184,18 +259,35 @@ class Windows:
         starts = np.cumsum([0, *[len(p) + 1 for p in plains]])
         codes = _codes("\0".join([*plains, ""]))
         found: list[dict[int, list[int]]] = [{} for _ in texts]
-        done: dict[tuple[int, int], int] = {}
-        for w, first, end in self.bands(codes):
-            i = int(np.searchsorted(starts, max(0, min(first + int(self.e[w]), len(codes) - 1)), "right")) - 1
-            while i < len(texts) and starts[i] < end + len(self.texts[w]):
+        done: dict[tuple[int, int, int, int], int] = {}
+
+        def place(item: int, size: int, e: int, at: int, first: int, end: int) -> bool:
+            """Whether the window occurs on these diagonals, in any of the texts that they cross."""
+            i, any_ = int(np.searchsorted(starts, max(0, min(first + e, len(codes) - 1)), "right")) - 1, False
+            while i < len(texts) and starts[i] < end + size:
                 own, a, b = codes[starts[i] : starts[i + 1] - 1], first - int(starts[i]), end - int(starts[i])
-                # a place that the overlapping band before has shown already
-                place = None if a <= done.get((w, i), -1) < b else self.align(w, own, a, b)
-                if place:
-                    done[w, i] = place[0]
-                    old = found[i].setdefault(self.items[w], list(place))
-                    found[i][self.items[w]] = [min(old[0], place[0]), max(old[1], place[1]), min(old[2], place[2])]
+                # a place that the overlapping band before has shown already; without one, nothing on any diagonal
+                if a <= done.get((item, size, at, i), -(1 << 40)) < b:
+                    any_ = True
+                elif here := self.align((item, size, at), e, own, a, b):
+                    any_ = True
+                    done[item, size, at, i] = here[0]
+                    old = found[i].setdefault(item, list(here))
+                    found[i][item] = [min(old[0], here[0]), max(old[1], here[1]), min(old[2], here[2])]
                 i += 1
+            return any_
+
+        for item, size, e, ats, first, end in self.bands(codes):
+            k, ats = 0, self.possible(item, size, e, ats, codes, first, end)
+            while k < len(ats):
+                if not place(item, size, e, ats[k], first + ats[k], end + ats[k]):
+                    k += 1
+                    continue
+                # beyond a window that occurs, the furthest that does within half a window, then on from there
+                last, far = k, bisect_right(ats, ats[k] + size // 2) - 1
+                while far > last and not place(item, size, e, ats[far], first + ats[far], end + ats[far]):
+                    far -= 1
+                k = far if far > last else bisect_right(ats, ats[last] + size // 2)
         return [[(self.ids[item], *_source(t, a, b), e) for item, (a, b, e) in sorted(hits.items())] if hits else [] for t, hits in zip(texts, found)]
 
 
