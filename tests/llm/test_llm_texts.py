@@ -82,6 +82,12 @@ def test_pii_no_rule_applies_without_a_hint():
         assert pii._HINT.search(text) or not pii._RULES.search(text), text
 
 
+def test_pii_every_character_that_is_rewritten():
+    found = [c for c in map(chr, range(0x110000)) if pii._OTHER.match(c)]
+    assert set("⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉") <= set(found) and all(len(pii._plain_char(c)) <= 1 for c in found)
+    assert pii.find("5 m s\u207b\u00b9, 2\u207f, \u207a\u207d\u2071\u2071\u207e, \u2072") == []
+
+
 def test_pii_query(spark):
     texts = dict(documents(spark))
     for r in op2_pii(spark, SF).collect():

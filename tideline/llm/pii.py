@@ -118,7 +118,7 @@ _HINT = re.compile(
     re.IGNORECASE,
 )
 _INVISIBLE = "­​‌‍⁠﻿"
-_OTHER = re.compile(f"[{''.join(_LOOKALIKES)}{_INVISIBLE}！-～٠-٩۰-۹०-९⁰-₉²³¹]")
+_OTHER = re.compile(f"[{''.join(_LOOKALIKES)}{_INVISIBLE}！-～٠-٩۰-۹०-९⁰⁴-⁹₀-₉²³¹]")
 
 
 def _plain_char(c: str) -> str:
