@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, decision_list, decontaminate, langid, order_minhash, pii, quality_fm, secret_index, url_trie, warc
+from tideline.llm import (
+    bpe, decision_list, decontaminate, hard_negatives, langid, order_minhash, pii, quality_fm, secret_index, substring_dedup, url_trie, warc, whitening,
+)
 from tideline.llm.common import cut, held_out, learnable, spans_digest, spans_text, staging_path, table, text_of
 from tideline.session import configure
 
@@ -169,8 +171,86 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_pii, op3_secrets, op4_language, op5_warc, op6_decontamination, op7_url_filter, op8_quality_rules, op9_bpe, op10_quality)}
-SQL = {"op3_secrets": _op3_sql(), "op5_warc": OP5_SQL, "op7_url_filter": OP7_SQL}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; labels of every seventh are moved on first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.prepared(table(spark, sf_dir, "embeddings"), label=label)
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+OP11_SQL = """
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda c: floor(256 * c::double)) as x
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_inner_product(a.x, b.x) as bigint) as score
+  from r a join r b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.positive_id,
+  cast(row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) as int) as rank,
+  s.vec_id as negative_id, p.positive_score, s.score as negative_score
+from positives p join scored s on s.anchor_id = p.anchor_id and not s.same
+  and 100 * s.score between 30 * p.positive_score and 90 * p.positive_score
+qualify rank <= 10
+"""
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the passages that a document of smaller id has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = cut(substring_dedup.spans(docs))
+    some = substring_dedup.kept_texts(docs, found).select("doc_id", "seq", F.sha2(F.col("kept"), 256).alias("digest"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    whole = F.when(removed == 0, F.lower(F.hex("seq"))).otherwise(F.sha2(F.lit(""), 256))
+    return found.join(some, ["doc_id", "seq"], "left").select("doc_id", "n_words", removed.alias("n_removed"), F.coalesce("digest", whole).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+starts as (select r, doc_id, w, unnest(range(1, len(w) - 48)) as s from d),
+windows as (select r, doc_id, s, sha256(array_to_string(w[s : s + 49], ' ')) as h from starts),
+again as (select r, s from (select r, s, doc_id, min(doc_id) over (partition by h) as least from windows) where least < doc_id),
+gone as (select r, list(distinct i) as places from (select r, unnest(range(s, s + 50)) as i from again) group by r),
+words as (select r, i, w[i] as word from (select r, w, unnest(range(1, len(w) + 1)) as i from d)),
+left_ as (
+  select x.r, string_agg(x.word, ' ' order by x.i) as kept, count(*) as n
+  from words x left join (select r, unnest(places) as i from gone) g on g.r = x.r and g.i = x.i where g.i is null group by x.r)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(len(d.w) - coalesce(l.n, 0) as bigint) as n_removed,
+  sha256(coalesce(l.kept, '')) as kept_sha256
+from d left join left_ l using (r)
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first four whitened components of the distinct ones."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", whitening.levels("embedding").alias("x")).where("x is not null")
+    rows = cut(rows)
+    rows = rows.where(F.size("x") == F.lit(whitening.common_length(rows)))
+    model = whitening.fit(rows)
+    out = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
+    if model is None:
+        return spark.createDataFrame([], out)
+    error, shares = whitening.identity_error(rows, model), F.array(*[F.lit(e).cast("double") for e in model.explained()])
+    each = rows.select("vec_id", whitening.project(F.col("x"), model).alias("p")).select("vec_id", "p.deviation", F.posexplode("p.whitened").alias("k", "whitened"))
+    return each.select(
+        "vec_id", (F.col("k") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), F.expr("try_cast(deviation as long)").alias("deviation"),
+        "whitened", F.get(shares, F.col("k")).alias("explained"), F.lit(error).cast("double").alias("identity_error"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_near_duplicates, op2_pii, op3_secrets, op4_language, op5_warc, op6_decontamination, op7_url_filter, op8_quality_rules, op9_bpe, op10_quality,
+        op11_hard_negatives, op12_substring_dedup, op13_whitening,
+    )
+}
+SQL = {"op3_secrets": _op3_sql(), "op5_warc": OP5_SQL, "op7_url_filter": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op12_substring_dedup": OP12_SQL}
 
 
 def queries() -> dict:
