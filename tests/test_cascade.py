@@ -6,7 +6,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import dedup
+from tideline.operators import chains, dedup
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 TTL = timedelta(hours=24)
@@ -70,11 +70,11 @@ def frame(spark, rows):
     return df.withColumn("arrival", F.struct("at", "id"))
 
 
-def decide(spark, rows, marks=None, stored=None):
+def decide(spark, rows, marks=None, stored=None, **how):
     df = frame(spark, rows)
     m = spark.createDataFrame(list(marks), "kind string, key string, at timestamp") if marks else None
     s = spark.createDataFrame(list(stored), "kind string, key string, event_id string, fp string") if stored else None
-    kept = dedup.cascade(df, TTL, m, s)
+    kept = dedup.cascade(df, TTL, m, s, **how)
     why = dedup.explain_drops(df, kept, TTL, m, s).withColumn("outcome", dedup.outcome())
     kinds = {"event_id": "exact", "logical_event_id": "logical", "idempotency_key": "idempotency"}
     out = {}
@@ -127,6 +127,39 @@ def test_a_long_chain_settles(spark):
     assert {i for i, o in decide(spark, rows).items() if o[0] == "inserted"} == set(range(0, 14, 2))
 
 
+@pytest.mark.parametrize("seed, limit", [(21, 1000), (22, 15), (23, 4)])
+def test_components_alone_match_the_sequential_model(spark, seed, limit):
+    rng = random.Random(seed)
+    rows = [make_row(rng, i, hot=seed == 23) for i in range(120)]
+    marks = [("exact", "e1", START - timedelta(hours=2)), ("semantic", "s2", START + timedelta(hours=50))]
+    stored = [("exact", "e3", "e3", "//0"), ("idempotency", "i2", "old", "i2//1"), ("logical", "l4", "older", "/l4/0")]
+    assert decide(spark, rows, marks, stored, rounds=0, limit=limit) == model(rows, marks, stored)
+
+
+def chain_rows(n, every):
+    """Events that share a line key with the next one, `every` apart."""
+    return [
+        {"id": i, "event_id": f"e{i}", "at": START + i * every, "fp": f"//{i}", "keys": [("exact", f"e{i}", 1, True), ("purchase_line", f"p{i}", 3, False), ("purchase_line", f"p{i + 1}", 3, False)]}
+        for i in range(n)
+    ]
+
+
+def chain_passes(spark, rows, limit):
+    df = frame(spark, rows).select(F.col("id").cast("long").alias("id"), F.col("arrival").alias("order"), F.unix_micros("at").alias("us"), "fp", F.lit(False).alias("again"), "keys")
+    decided, passes = chains.decide(df, int(TTL.total_seconds()) * 1_000_000, limit)
+    assert {r["id"]: r["kept"] for r in decided.collect()} == {i: o[0] == "inserted" for i, o in model(rows).items()}
+    return passes
+
+
+def test_passes_over_long_chains(spark):
+    rows = chain_rows(2500, timedelta(seconds=1))
+    assert chain_passes(spark, rows, 10_000) == 1
+    # seven slices of odd length hand the change on from one to the next
+    assert chain_passes(spark, rows, 401) <= 8
+    # links that expire between slices
+    assert chain_passes(spark, chain_rows(300, timedelta(hours=24)), 40) == 2
+
+
 def test_debounce_of_a_null_key(spark):
     rows = [(1, None, START), (2, None, START + timedelta(seconds=0.1)), (3, None, START + timedelta(seconds=2)), (4, "a", START)]
     df = spark.createDataFrame(rows, "id int, key string, t timestamp")

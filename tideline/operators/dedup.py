@@ -2,9 +2,10 @@
 
 An event checks and marks several keys, and only events that end up stored mark theirs. So whether a
 repeat is dropped depends on whether the earlier holder was itself kept. `cascade` solves this set
-by set: in each round the earliest undecided holder of all its keys is kept, everything it blocks is
-dropped, and the rest goes on. Only events that share a key with another one take part, per-key
-minima are partial aggregations, and no key's rows are gathered in one task.
+by set: in each of a few rounds the earliest undecided holder of all its keys is kept and everything
+it blocks is dropped, which settles keys with very many copies. What is left holds each other's keys in
+chains, which `chains` decides component by component. Only events that share a key with another one
+take part, per-key minima are partial aggregations, and no key's rows are gathered in one task.
 """
 
 from __future__ import annotations
@@ -15,11 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline import vocab
+from tideline.operators import chains
 from tideline.functions.text import is_blank, text_or_empty, trimmed
 from tideline.session import cut
 
 SEP = "\x1f"
 
+#: Rounds of first holders ahead of the chains: copies of an event, and those of its next lifetime.
+ROUNDS = 2
+
 
 # --- keys ------------------------------------------------------------------------------------
 
@@ -199,13 +204,15 @@ def cascade(
     ttl: timedelta = timedelta(seconds=vocab.KEY_TTL_SECONDS),
     marks: DataFrame | None = None,
     stored: DataFrame | None = None,
+    rounds: int = ROUNDS,
+    limit: int = chains.LIMIT,
 ) -> DataFrame:
     """Decides which candidates are kept; the result has one row per kept candidate.
 
     candidates: arrival (orderable, unique), at (timestamp), fp (fingerprint), keys (KEYS) and
     whatever else should come along. marks: live keys of earlier runs (kind, key, at). stored: unique
     keys of the stored table (kind, key, event_id, fp). The result adds `inserted`, false for a kept
-    row that repeats a stored one.
+    row that repeats a stored one. After so many rounds chains are solved as components, in slices of up to `limit` rows.
     """
     span = int(ttl.total_seconds() * 1_000_000)
     rows = candidates.withColumn("_again", F.lit(False))
@@ -223,8 +230,9 @@ def cascade(
     undecided = cut(undecided if known is None else _judge(undecided, known, span))
 
     kept = free
-    # The earliest undecided arrival wins all its keys, so every round decides some and the loop ends.
-    while not undecided.isEmpty():
+    for _ in range(rounds):
+        if undecided.isEmpty():
+            break
         open_keys = _keyed(undecided)
         first = open_keys.groupBy("kind", "key").agg(F.min("arrival").alias("_first"))
         won = (
@@ -237,9 +245,23 @@ def cascade(
         kept = kept.unionByName(winners)
         rest = undecided.join(winners.select("arrival"), "arrival", "left_anti")
         undecided = cut(_judge(rest, _marked_by(winners), span))
+    if not undecided.isEmpty():
+        kept = kept.unionByName(_chained(undecided, span, limit))
     return kept.withColumn("inserted", ~F.col("_again")).drop("_again")
 
 
+def _chained(undecided: DataFrame, span: int, limit: int) -> DataFrame:
+    """The undecided rows that stay; they know what rows decided before left them."""
+    numbered = cut(undecided.withColumn("_id", F.monotonically_increasing_id()))
+    rows = numbered.select(
+        F.col("_id").alias("id"), F.col("arrival").alias("order"), F.unix_micros("at").alias("us"), "fp",
+        F.col("_again").alias("again"), "keys",
+    )
+    decided, _ = chains.decide(rows, span, limit)
+    stay = decided.where("kept").select(F.col("id").alias("_id"), "again")
+    return numbered.join(stay, "_id").withColumn("_again", F.col("again")).drop("_id", "again")
+
+
 def _marked_by(winners: DataFrame) -> DataFrame:
     """Keys set by one round's winners, one winner per key; stored rows own their unique keys."""
     owned = F.col("unique") & ~F.col("_again")
