@@ -128,9 +128,13 @@ def prepared(df: DataFrame, vec_id: str = "vec_id", label: str | Column = "label
 
 
 def _dealt(rows: DataFrame, n: int, dims: int, block: int) -> DataFrame:
-    """Adds block: rows of near labels and leading coordinates lie in one block."""
+    """Adds block: rows of near labels and leading coordinates lie in one block. Neighbouring partitions make up a block, so
+    that blocks depend on the rows alone and not on how many partitions Spark deals."""
     order = ["label", *[F.col("x")[d] for d in range(min(3, dims))], "vec_id"]
-    return cut(rows.repartitionByRange(max(1, ceil(n / block)), *order).withColumn("block", F.spark_partition_id()))
+    blocks = max(1, ceil(n / block))
+    dealt = cut(rows.repartitionByRange(blocks, *order).withColumn("block", F.spark_partition_id()))
+    partitions = 1 + (dealt.agg(F.max("block")).first()[0] or 0)
+    return dealt.withColumn("block", F.floor(F.col("block") * blocks / F.lit(max(partitions, blocks))).cast("int"))
 
 
 def mine(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int = 10, least: int = 30, most: int = 90,

@@ -4,9 +4,10 @@ Words are runs of anything but space and the control characters 9 to 13. A windo
 window whose words also start in a document of smaller id is a duplicate, and all words of duplicates go.
 
 References. The anchor of a window is its GRAM words of smallest hash, the leftmost of equals, so equal windows have equal anchors.
-The windows of a document that share an anchor follow each other; their words are a segment of fewer than 2 * SPAN words. Of all
-segments with equal anchors, that of the smallest id is the reference block of the anchor. A block is all that a document can share
-with that id around the anchor, and blocks are bounded however often a passage occurs.
+The windows of a document that share an anchor follow each other; their words are a segment of fewer than 2 * SPAN words. Equal
+segments of a document, as in texts that go round in a circle, are one. Of all segments with equal anchors, that of the smallest
+id is the reference block of the anchor. A block is all that a document can share with that id around the anchor, and blocks
+are bounded however often a passage occurs.
 
 Parsing. Every segment is laid against the block of its anchor, and the longest factor through the anchor is taken: as far as
 the words agree to the left and to the right. Windows within the factor are duplicates. Neighbouring segments overlap by SPAN - 1
@@ -120,8 +121,20 @@ def _scanned(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, seq binary, n_words long, grams array<long>")
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+_SEGMENT = pa.schema(
+    [("gram", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.binary()), ("firsts", pa.list_(pa.int64())), ("at", pa.int32()),
+     ("windows", pa.int32()), ("said", pa.binary()), ("is_block", pa.bool_())]
+)
+
+
 def _segments(texts: DataFrame) -> DataFrame:
-    """(gram, doc_id, seq, first, at, windows, said, is_block) for the wanted anchors of (doc_id, text, seq, grams, own)."""
+    """(gram, doc_id, seq, firsts, at, windows, said, is_block) for the wanted anchors of (doc_id, text, seq, grams, own). A
+    document's equal segments are one row; firsts has the first window of each."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -131,63 +144,69 @@ def _segments(texts: DataFrame) -> DataFrame:
                 found = words(text.as_py())
                 if hashlib.sha256(b" ".join(found)).digest() != seq.as_py():
                     continue  # another text of the same id
-                wanted, own = set(grams.as_py()), set(own.as_py())
+                wanted, own, firsts = set(grams.as_py()), set(own.as_py()), {}
                 for gram, at, first, end in anchors(found, hashes):
                     if gram in wanted:
                         said = b" ".join(found[first : end + SPAN - 1])
-                        rows.append((gram, doc_id.as_py(), seq.as_py(), first, at - first, end - first, said, gram in own))
-                        own.discard(gram)
+                        firsts.setdefault((gram, at - first, end - first, said), []).append(first)
+                for (gram, at, windows, said), places in firsts.items():
+                    rows.append((gram, doc_id.as_py(), seq.as_py(), places, at, windows, said, gram in own))
+                    own.discard(gram)
             for at in range(0, len(rows), 5000):
-                columns = list(zip(*rows[at : at + 5000]))
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["gram", "doc_id", "seq", "first", "at", "windows", "said", "is_block"])
+                yield _batch(rows[at : at + 5000], _SEGMENT)
 
     return texts.select("doc_id", "text", "seq", "grams", "own").mapInArrow(
-        cut_up, "gram long, doc_id long, seq binary, first long, at int, windows int, said binary, is_block boolean"
+        cut_up, "gram long, doc_id long, seq binary, firsts array<long>, at int, windows int, said binary, is_block boolean"
     )
 
 
+_PARSED = pa.schema(
+    [("doc_id", pa.int64()), ("seq", pa.binary()), ("firsts", pa.list_(pa.int64())), ("start", pa.int32()), ("end", pa.int32()),
+     ("boundary", pa.int64()), ("said", pa.binary())]
+)
+
+
 def _parsed(met: DataFrame) -> DataFrame:
-    """(doc_id, seq, start, end, boundary, said): windows start to end are duplicates if boundary is null; else they cross that
-    boundary of a factor and said has their words."""
+    """(doc_id, seq, firsts, start, end, boundary, said): windows start to end, counted from each of firsts, are duplicates if
+    boundary is null; else they cross that boundary of a factor and said has their words."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("gram", "doc_id", "seq", "first", "at", "windows", "said", "block_id", "block_at", "block_said")
+        names = ("gram", "doc_id", "seq", "firsts", "at", "windows", "said", "block_id", "block_at", "block_said")
         for batch in batches:
             rows = []
-            for gram, doc_id, seq, first, at, windows, said, block_id, block_at, block_said in zip(*(batch.column(c).to_pylist() for c in names)):
+            for gram, doc_id, seq, firsts, at, windows, said, block_id, block_at, block_said in zip(*(batch.column(c).to_pylist() for c in names)):
                 segment = said.split()
                 left, right = factor(segment, at, block_said.split(), block_at)
                 # windows from `inner` on begin within the factor, those before `outer` end within it
                 inner, outer = min(max(at - left, 0), windows), min(max(at + right - SPAN + 1, 0), windows)
                 if inner < outer and block_id < doc_id:
-                    rows.append((doc_id, seq, first + inner, first + outer, None, None))
+                    rows.append((doc_id, seq, firsts, inner, outer, None, None))
                 crossing = [(0, inner, b"<", left, at - left - 1), (max(inner, outer), windows, b">", right, at + right)]
                 for start, end, side, distance, place in crossing:
                     if start < end:
                         boundary = xxhash.xxh3_64_intdigest(b"%d%s%d %s" % (gram, side, distance, segment[place])) - (1 << 63)
-                        rows.append((doc_id, seq, first + start, first + end, boundary, b" ".join(segment[start : end + SPAN - 1])))
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "seq", "start", "end", "boundary", "said"])
+                        rows.append((doc_id, seq, firsts, start, end, boundary, b" ".join(segment[start : end + SPAN - 1])))
+            yield _batch(rows, _PARSED)
+
+    return met.mapInArrow(parse, "doc_id long, seq binary, firsts array<long>, start int, end int, boundary long, said binary")
+
 
-    return met.mapInArrow(parse, "doc_id long, seq binary, start long, end long, boundary long, said binary")
+_WINDOW = pa.schema([("doc_id", pa.int64()), ("seq", pa.binary()), ("firsts", pa.list_(pa.int64())), ("start", pa.int32()), ("digest", pa.binary())])
 
 
 def _windows(crossing: DataFrame) -> DataFrame:
-    """(doc_id, seq, start, digest) of each window of (doc_id, seq, start, end, said)."""
+    """(doc_id, seq, firsts, start, digest) of each window of (doc_id, seq, firsts, start, end, said)."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, seq, start, end, said in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "seq", "start", "end", "said"))):
+            for doc_id, seq, firsts, start, end, said in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "seq", "firsts", "start", "end", "said"))):
                 found = said.split()
-                rows += [(doc_id, seq, start + i, xxhash.xxh3_128_digest(b" ".join(found[i : i + SPAN]))) for i in range(end - start)]
-            columns = list(zip(*rows)) or [()] * 4
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "seq", "start", "digest"])
+                rows += [(doc_id, seq, firsts, start + i, xxhash.xxh3_128_digest(b" ".join(found[i : i + SPAN]))) for i in range(end - start)]
+            yield _batch(rows, _WINDOW)
 
-    return crossing.select("doc_id", "seq", "start", "end", "said").mapInArrow(digests, "doc_id long, seq binary, start long, digest binary")
+    own = crossing.select("doc_id", "seq", "firsts", "start", "end", "said")
+    return own.mapInArrow(digests, "doc_id long, seq binary, firsts array<long>, start int, digest binary")
 
 
 def _in_several(rows: DataFrame, key: str) -> DataFrame:
@@ -204,20 +223,23 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     whole = long_.groupBy("seq").agg(F.min("doc_id").alias("least"), F.first("grams").alias("grams"))
     whole = cut(whole)
     postings = whole.select(F.col("least").alias("doc_id"), "seq", F.explode("grams").alias("gram"))
-    shared = _in_several(postings, "gram")
+    shared = cut(_in_several(postings, "gram"))
     own = F.when(F.col("doc_id") == F.col("least"), F.col("gram"))
     wanted = postings.join(shared, "gram").groupBy("doc_id", "seq").agg(F.collect_list("gram").alias("grams"), F.collect_list(own).alias("own"))
     texts = cut(rows.join(wanted, "doc_id"))
     segments = cut(_segments(texts))
-    block = F.min(F.struct("doc_id", "seq", "first", "at", "said")).alias("b")
+    block = F.min(F.struct("doc_id", "seq", "firsts", "at", "said")).alias("b")
     blocks = segments.where("is_block").groupBy("gram").agg(block)
-    blocks = blocks.select("gram", F.col("b.doc_id").alias("block_id"), F.col("b.at").alias("block_at"), F.col("b.said").alias("block_said"))
+    # a table of its own, so that Spark can split the segments of a frequent anchor
+    blocks = cut(blocks.select("gram", F.col("b.doc_id").alias("block_id"), F.col("b.at").alias("block_at"), F.col("b.said").alias("block_said")))
     parsed = cut(_parsed(segments.join(blocks, "gram")))
     crossing = parsed.where("boundary is not null")
     windows = cut(_windows(crossing.join(_in_several(crossing, "boundary").select("boundary"), "boundary", "left_semi")))
     again = windows.join(_in_several(windows, "digest"), "digest").where("least < doc_id")
-    found = parsed.where("boundary is null").select("doc_id", "seq", "start", "end")
-    found = found.unionByName(again.select("doc_id", "seq", "start", (F.col("start") + 1).alias("end")))
+    found = parsed.where("boundary is null").select("doc_id", "seq", "firsts", "start", "end")
+    found = found.unionByName(again.select("doc_id", "seq", "firsts", "start", (F.col("start") + 1).alias("end")))
+    found = found.select("doc_id", "seq", F.explode("firsts").alias("first"), "start", "end")
+    found = found.select("doc_id", "seq", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end"))
     ranges = F.sort_array(F.collect_set(F.struct("start", (F.col("end") + SPAN - 1).alias("end"))))
     parts = found.groupBy("doc_id", "seq").agg(_merged(ranges).alias("spans"))
     judged = scanned.select("doc_id", "seq", "n_words").join(whole.select("seq", "least"), "seq", "left").join(parts, ["doc_id", "seq"], "left")
