@@ -82,6 +82,19 @@ def test_pii_no_rule_applies_without_a_hint():
         assert pii._HINT.search(text) or not pii._RULES.search(text), text
 
 
+def test_pii_every_letter_that_matches_without_case():
+    letters = set("".join(pii._SPELLED) + "arrobapunktpointpuntoplus")
+    one = re.compile(f"[{''.join(letters)}]", re.IGNORECASE)
+    for c in map(chr, range(0x110000)):
+        if one.match(c):
+            assert c in pii._LOOKALIKES or c.lower() in letters
+    for text in ("call ſix ſeven ſix now", "call sıx seven sıx now", "one two ſix dot one dot two", "PLUS FİVE ſix seven eight nine ten"):
+        pii.find(text)
+    assert [s[0] for s in pii.find("plus ſıx one two three four five ſeven eıght nıne now")] == ["phone"]
+    assert pii.find("one two ſix dot one dot two dot ſıx") == [("ip", 0, 35, False)]
+    assert pii.find("x ſue@mail.org") == [("email", 2, 14, False), ("email", 3, 14, True)]
+
+
 def test_pii_every_character_that_is_rewritten():
     found = [c for c in map(chr, range(0x110000)) if pii._OTHER.match(c)]
     assert set("⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉") <= set(found) and all(len(pii._plain_char(c)) <= 1 for c in found)

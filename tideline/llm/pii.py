@@ -78,11 +78,12 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
 DETECTORS: dict[str, Callable[[str], Iterator[tuple[int, int]]]] = {"email": emails, "ip": ips, "card": cards, "phone": phones}
 
 
-# Letters of other scripts that look like Latin ones: Cyrillic, then Greek.
+# Letters that look like Latin ones: Cyrillic, Greek, then those that match s, i and k where case is ignored
+# but aren't turned into them by lower().
 _LOOKALIKES = dict(
     zip(
-        "аеорсухіјѕԁһгАВЕКМНОРСТУХІЈЅοαρνικυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
-        "aeopcyxijsdhrABEKMHOPCTYXIJSoapviKuABEZHIKMNOPTYX",
+        "аеорсухіјѕԁһгАВЕКМНОРСТУХІЈЅοαρνικυΑΒΕΖΗΙΚΜΝΟΡΤΥΧſıİ\u212a",
+        "aeopcyxijsdhrABEKMHOPCTYXIJSoapviKuABEZHIKMNOPTYXsiIK",
         strict=True,
     )
 )
