@@ -11,15 +11,18 @@ pair can reach. Classes are the connected components of the links; equal texts a
 
 A linked pair shares no element with probability (1 - s ** LEAST) ** ELEMENTS, 5e-6 at s = 0.8, and then can
 still be in one class through others. Texts of up to SHORT shingles, where draws without replacement make that worse, also
-have their first shingles in order of hash as elements, so no such pair is lost. In a bucket of texts with a common element,
-members are compared with the most central one, that is the one that shares most elements with others; then those of another
-class are compared with the next two, four and so on, as long as that joins any classes anywhere.
+have their first shingles in order of hash as elements, so no such pair is lost. Texts with a common element are a bucket.
+Each text is compared with the most central one, that is the one that shares most elements with others, of its largest bucket
+only. That puts large groups of copies together. Then one text of each class in a bucket is compared with one of its
+largest class.
 
-Buckets that still hold several classes and members not yet compared go through an exact join. Shingles are put in an order
+Buckets that still hold several classes go through an exact join. Shingles are put in an order
 with rare ones first. Of the chain of a linked pair of n and m shingles, at least A = t / (1 + t) * (n + m) long, the first
 one in that order is among the first n - A + 1 shingles of the one and m - A + 1 of the other, on diagonals at most
 n + m - 2 * A apart in the texts. So texts of different classes are candidates if they have such a shingle, and no linked pair
-of the buckets is lost. Groups of one class make no pairs, and the largest class of a group isn't paired with itself.
+of the buckets is lost. Groups of one class make no pairs, and the largest class of a group isn't paired with itself. The rows
+of this join are at most the texts outside the largest class of a shingle times its texts, so they are linear in a group of
+copies and square in the number of unlike texts that have one of their rarest shingles in common.
 
 Null texts count as empty; texts without a word are similar only to equal ones. Texts are read whole. Null ids are
 allowed: such rows have a class like any others, and a class of only such rows has a null class_id. Repeated rows have one
@@ -36,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import cut, free_name, text_of
@@ -205,14 +208,13 @@ def _keyed(docs: DataFrame, text: str) -> list[Column]:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(element, node, size, weight, root) for elements that several texts have. size is the number of shingles, weight says
-    how much a text shares in all, and every text is its own root so far."""
+    """(element, node, size, n, weight, root) for elements that several texts have. size is the number of shingles, n that of
+    texts in the bucket, weight says how much a text shares in all, and every text is its own root so far."""
     each = nodes.select("node", "size", F.explode("elements").alias("element"))
     sizes = each.groupBy("element").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cut(each.join(sizes, "element"))
     weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
-    members = shared.select("element", "node", "size").join(weights, "node")
-    return cut(members.withColumn("root", F.col("node")))
+    return cut(shared.join(weights, "node").withColumn("root", F.col("node")))
 
 
 def _joined(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -271,11 +273,15 @@ def _rare(texts: DataFrame, threshold: float) -> DataFrame:
     return own.mapInArrow(first, "shingle long, node binary, root binary, size int, rank int, place int")
 
 
-def _rest(members: DataFrame, texts: DataFrame, threshold: float, done: int) -> DataFrame:
-    """(node, root, b, b_root): the candidates among members of buckets that aren't of one class and not compared as a whole."""
-    buckets = members.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
-    open_ = buckets.where((F.col("n") > done + 1) & (F.col("least") != F.col("most"))).select("element")
-    nodes = members.join(open_, "element", "left_semi").select("node", "root").distinct()
+def _mixed(members: DataFrame) -> DataFrame:
+    """(element, node, root) of the buckets that hold several classes."""
+    ends = members.groupBy("element").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    return members.join(ends.select("element"), "element", "left_semi")
+
+
+def _rest(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(node, root, b, b_root): the candidates of different classes among the members of buckets that hold several."""
+    nodes = _mixed(members).select("node", "root").distinct()
     rare = cut(_rare(cut(nodes.join(texts, "node")), threshold))
     each = rare.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
     groups = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "root"))["root"].alias("largest"))
@@ -289,32 +295,43 @@ def _rest(members: DataFrame, texts: DataFrame, threshold: float, done: int) ->
     return others.join(any_, "shingle").where((F.col("root") != F.col("b_root")) & once & reach & near).select("node", "root", "b", "b_root")
 
 
+def _with_centre(members: DataFrame, threshold: float) -> DataFrame:
+    """(node, root, b, b_root): each member with the most central one of its bucket, where that is of another class."""
+    centre = members.groupBy("element").agg(F.max(F.struct("rank", "node", "size", "root")).alias("c"))
+    centre = centre.select("element", *[F.col(f"c.{c}").alias(f"b{s}") for c, s in (("node", ""), ("size", "_size"), ("root", "_root"))])
+    # texts of lengths further apart can't reach the threshold
+    alike = F.least("size", "b_size") >= threshold * F.greatest("size", "b_size") - 1e-9
+    return members.join(centre, "element").where((F.col("root") != F.col("b_root")) & alike)
+
+
 def _links(buckets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
-    """(node, root) over all texts that are linked to another one."""
-    order = Window.partitionBy("element").orderBy(F.desc("weight"), "node")
-    members, roots, done, upto = buckets, None, 0, 1
-    while True:
-        central = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= upto).where(F.col("rank") > done)
-        central = central.select("element", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
-        # texts of lengths further apart can't reach the threshold
-        alike = F.least("size", "b_size") >= threshold * F.greatest("size", "b_size") - 1e-9
-        pairs = members.join(central, "element").where((F.col("root") != F.col("b_root")) & alike)
+    """(node, root) over all texts that are linked to another one.
+
+    First each text goes to the largest of its buckets only, so a group of copies is put together by one row of each. Then
+    each class of a bucket sends its most central text, and what is still mixed goes through the exact join.
+    """
+    largest = buckets.groupBy("node").agg(F.max(F.struct("n", "element", "size", "weight", "root")).alias("m")).select("node", "m.*")
+    roots, members = None, buckets
+    for step in ("largest", "classes", "rest"):
+        if step == "largest":
+            pairs = _with_centre(largest.withColumn("rank", F.col("weight")), threshold)
+        elif step == "classes":
+            sent = members.groupBy("element", "root").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", "node", "size")).alias("m"))
+            pairs = _with_centre(sent.select("element", "root", "m.node", "m.size", F.struct("n", "m.weight").alias("rank")), threshold)
+        else:
+            pairs = _rest(members, texts, threshold)
         joined = _joined(pairs, texts, threshold)
-        last = joined.isEmpty()
-        if last:
-            joined = _joined(_rest(members, texts, threshold, upto), texts, threshold)
-            if joined.isEmpty():
-                return roots
+        if joined.isEmpty():
+            continue
         moved = joined.withColumnRenamed("root", "to")
         if roots is None:
             roots = joined
         else:
             old = roots.join(moved.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
             roots = cut(old.unionByName(joined.join(roots.select("node"), "node", "left_anti")))
-        if last:
-            return roots
-        members = cut(members.join(moved.withColumnRenamed("node", "root"), "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"))
-        done, upto = upto, 2 * upto + 1
+        if step != "rest":
+            members = cut(members.join(moved.withColumnRenamed("node", "root"), "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"))
+    return roots
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -339,7 +356,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
 def class_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id) for each row; class_id is the smallest doc_id of the class."""
     found = cut(classes(docs, doc_id, text, threshold))
-    least = found.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    least = cut(found.groupBy("root").agg(F.min("doc_id").alias("class_id")))
     return found.select("doc_id", "root").join(least, "root").select("doc_id", "class_id")
 
 
