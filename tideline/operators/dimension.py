@@ -191,7 +191,8 @@ def flag_idempotency(rows: DataFrame, stored_keys: DataFrame | None = None) -> D
     order = F.struct("received_at", "event_id", "subject_ordinal")
     flagged = flag_repeats(rows, SUBJECT_KEY, order, "_again", keyed)
     if stored_keys is not None:
-        known = stored_keys.where("coalesce(idempotency_key, '') <> ''").select(*SUBJECT_KEY).distinct().withColumn("_known", F.lit(True))
+        asked = rows.where(keyed).select(*SUBJECT_KEY).distinct()
+        known = stored_keys.select(*SUBJECT_KEY).join(asked, SUBJECT_KEY, "left_semi").distinct().withColumn("_known", F.lit(True))
         flagged = flagged.join(known, SUBJECT_KEY, "left").withColumn(
             "_again", F.col("_again") | F.coalesce(F.col("_known"), F.lit(False))
         )

@@ -118,7 +118,7 @@ def _apply(tables: Tables, pages: DataFrame, batch_id: int, current: dict, now:
         raise SnapshotInvalid("a snapshot row is invalid")
     batch = dimension.fold(dimension.changes_from_snapshot(rows))
     # Shared with the event batches, under ids of its own.
-    tables.write_batch("subject_changes", batch, f"bootstrap-{current['run_id']}-{batch_id:09d}")
+    tables.write_batch("subject_changes", batch, f"bootstrap-{current['run_id']}-{batch_id:09d}", keys=dimension.KEY)
     return _note(
         tables, current, cursor=summary["cursor"], source_revision=known,
         processed_count=current["processed_count"] + (summary["rows"] or 0), at=now,

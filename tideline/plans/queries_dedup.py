@@ -174,6 +174,57 @@ def event_decisions(spark, sf_dir):
     return _process(spark, sf_dir).decided.select("stream_id", "reason", "outcome")
 
 
+# In each hour the first impression that isn't refused stays, unless one of the hour before stayed: every second hour of a
+# run of hours. A purchase stays a day after the last one that did; of a logical id the first stays, repeats within a day are
+# dropped and later ones are conflicts; of a semantic key the first stays.
+_LAYERED = """
+with recursive e as (
+    select *, 'lay-' || cast(event_id as string) || '-0' as stream_id, event_id % 211 = 0 as refused,
+           cast(epoch_us(ts) // 3600000000 as bigint) as hour, cast(epoch_us(ts) // 21600000000 as bigint) as part
+    from events
+),
+good as (select *, row_number() over (partition by user_id % 60 order by ts, 'lay-' || cast(event_id as string)) as rn
+         from e where not refused and event_type = 'purchase'),
+buys as (
+    select stream_id, user_id % 60 as key, rn, ts as mark, true as stays from good where rn = 1
+    union all
+    select g.stream_id, w.key, g.rn, case when epoch_us(g.ts) - epoch_us(w.mark) >= 86400000000 then g.ts else w.mark end,
+           epoch_us(g.ts) - epoch_us(w.mark) >= 86400000000
+    from buys w join good g on g.user_id % 60 = w.key and g.rn = w.rn + 1
+),
+hours as (select distinct hour from e where not refused and event_type in ('signup', 'click')),
+runs as (select hour, hour - row_number() over (order by hour) as run from hours),
+stay as (select hour from (select hour, row_number() over (partition by run order by hour) as place from runs) where place % 2 = 1),
+judged as (
+    select e.stream_id, refused, event_type,
+           case when event_type = 'purchase' then b.stays
+                when event_type = 'view' then row_number() over (partition by refused, event_type, user_id % 7, part order by ts, e.stream_id) = 1
+                when event_type = 'error' then row_number() over (partition by refused, event_type, user_id % 40 order by ts, e.stream_id) = 1
+                else s.hour is not null and row_number() over (partition by refused, event_type in ('signup', 'click'), e.hour order by ts, e.stream_id) = 1
+           end as stays,
+           epoch_us(ts) - min(epoch_us(ts)) over (partition by refused, event_type, user_id % 40) < 86400000000 as fresh
+    from e left join buys b on b.stream_id = e.stream_id left join stay s on s.hour = e.hour
+)
+select stream_id,
+       case when refused then 'blocked_key' when stays then null when event_type <> 'error' then 'duplicate_semantic_event'
+            when fresh then 'duplicate_logical_event' else 'idempotency_conflict' end as reason,
+       case when refused then null when stays then 'inserted' when event_type = 'error' and not fresh then 'conflict' end as outcome,
+       case when refused or stays or (event_type = 'error' and not fresh) then
+                case event_type when 'error' then 'logical' when 'view' then 'semantic' else 'none' end
+            else case event_type when 'error' then 'logical' when 'view' then 'semantic' when 'purchase' then 'purchase_line' else 'item_impression' end
+       end as strategy
+from judged
+"""
+
+
+@query("B13 C3 C4 C5 C6 C7 C8 C10", _LAYERED)
+def layered_decisions(spark, sf_dir):
+    """Events of all duplicate layers through the whole path, among them a chain of impressions over the whole time."""
+    sites = base.sites(spark, sf_dir)
+    decided = ingest.process(adapters.layered(spark, sf_dir), sites, RULES, base.definitions(spark), adapters.REVISION).decided
+    return decided.select("stream_id", "reason", "outcome", F.col("dedup_strategy").alias("strategy"))
+
+
 @query(
     "C12 K1",
     _DECIDED + "select coalesce(outcome, 'not_persisted') as outcome, count(*) as events from decided group by 1",

@@ -117,6 +117,30 @@ REPEATS = """
     from {events} where event_id % 10 = 0
 """
 
+# Events for every duplicate layer. Impressions of one long session show the items of their hour and of the next one, so
+# they hang together in a chain; purchases repeat order lines, errors logical ids, views the fields of a semantic rule.
+LAYERED_EVENTS = """
+select 'lay-' || cast(e.event_id as string) || '-0' as stream_id,
+       'lay-' || cast(e.event_id as string) as event_id,
+       case when e.event_type = 'error' then 'log-' || cast(e.user_id % 40 as string) else '' end as logical_event_id,
+       '' as idempotency_key, '' as tab_id, cast(0 as bigint) as sequence, '' as previous_logical_event_id,
+       'server' as event_source, 'site-1' as site_code, 'production' as env, 1 as token_version, 'jti' as jwt_id,
+       case when e.event_type in ('signup', 'click') then 'item_impression' when e.event_type = 'purchase' then 'purchase_completed'
+            when e.event_type = 'error' then 'app_error' else 'page_view' end as event_name,
+       1 as event_version, e.ts as event_time, e.ts as received_at, 'anon' as anonymous_id,
+       case when e.event_type = 'view' then 'sess-' || cast(e.user_id % 7 as string) else 'long' end as session_id,
+       'u' as user_id, '' as origin, '' as url, '/' as path, '' as referrer, 'agent' as user_agent, '' as ip_hash,
+       'sdk' as sdk_name, '1' as sdk_version,
+       '{{"k":1' || case when e.event_id % 211 = 0 then ',"cvv":1' else '' end
+           || case when e.event_type in ('signup', 'click') then ',"surface":"home","list_instance_id":"l","items":[{{"item_id":"h'
+                       || cast(datediff(e.ts, timestamp '2024-01-01') * 24 + hour(e.ts) as string) || '"}},{{"item_id":"h'
+                       || cast(datediff(e.ts, timestamp '2024-01-01') * 24 + hour(e.ts) + 1 as string) || '"}}]'
+                   when e.event_type = 'purchase' then ',"order_id":"o' || cast(e.user_id % 60 as string) || '","item":{{"item_id":"i","order_line_id":"1"}}'
+                   else '' end || '}}' as properties,
+       '{{}}' as context
+from {events} e
+"""
+
 # Context registry: three of the four keys in use, one of them inactive.
 REGISTRY_CONTEXTS = (
     ("ctx-0", 1, "search", None, None, "active"),
@@ -149,8 +173,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table ahead of costly per-row work, in even parts; the test tables are single files that can't be split."""
-    return read(spark, sf_dir, name).hint("rebalance")
+    """A table ahead of costly per-row work. A scan of fewer splits than there are cores is small, and is dealt to all of them;
+    larger tables are read as they lie, without a shuffle."""
+    rows, cores = read(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,6 +204,12 @@ def raw(spark: SparkSession, sf_dir: str, repeats: bool = True) -> DataFrame:
     )
 
 
+def layered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw events in which every duplicate layer decides."""
+    rows = _as_instants(spark.sql(LAYERED_EVENTS, events=read_spread(spark, sf_dir, "events")))
+    return rows.withColumns({"properties": F.parse_json("properties"), "context": F.parse_json("context")})
+
+
 def registry(spark: SparkSession) -> DataFrame:
     from tideline import schemas
 

@@ -17,7 +17,12 @@ def after(updated_at: datetime | None, row_id: str | int | None) -> Column:
 
 
 def changed_rows(facts: DataFrame, updated_at=None, row_id=None, contextual: bool = False) -> DataFrame:
-    """Projectable rows changed since the checkpoint. One set-based scan, no page loop."""
+    """Projectable rows changed since the checkpoint. One set-based scan, no page loop.
+
+    A table with folders by the day of updated_at is read from the checkpoint's day on.
+    """
+    if updated_at is not None and "ingest_date" in facts.columns:
+        facts = facts.where(F.col("ingest_date") >= F.to_date(F.lit(updated_at)))
     usable = (
         (F.col("normalization_status") == "normalized")
         & F.col("external_subject_id").isNotNull()
