@@ -35,12 +35,26 @@ def checkpoint(tables: Tables, name: str, version: int):
     return (None, None) if found is None else (found["last_updated_at"], found["last_id"])
 
 
+def claim_name(contextual: bool, version: int) -> str:
+    return f"{NAME[contextual]}-{version}"
+
+
 def run(tables: Tables, facts: DataFrame, subjects: DataFrame, contextual: bool, now: datetime, version: int = 1) -> dict:
     """One run over everything that changed since the checkpoint, whatever its age.
 
     The recount is absolute, so a run that is repeated after a crash writes the same rows; the
-    checkpoint moves only after the data is in place.
+    checkpoint moves only after the data is in place. While another run holds the claim nothing is done but a note of that.
     """
+    with tables.claim(claim_name(contextual, version)) as alone:
+        if alone:
+            return _run(tables, facts, subjects, contextual, now, version)
+    skipped = dict(run_id=f"{NAME[contextual]}:{version}:{now.isoformat()}:skipped", status="skipped_locked", started_at=now, completed_at=now)
+    named = dict(projection_name=NAME[contextual], projection_version=version)
+    tables.append("projection_runs", projections.run_row(tables.spark, **skipped, **named))
+    return dict(affected_days=0, rows_read=0, rows_written=0)
+
+
+def _run(tables, facts, subjects, contextual, now, version) -> dict:
     spark, name = tables.spark, NAME[contextual]
     key = projections.key_of(contextual)
     ledger = tables.read_or_none("projection_runs")

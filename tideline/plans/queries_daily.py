@@ -238,15 +238,15 @@ def context_status(spark, sf_dir):
     return rows.select("tenant_id", "context_key", "resolution_status")
 
 
-LIMIT = 10
+#: More than a tenant has subjects in some contexts, so that answers are filled up.
+LIMIT = 50
 
 
 def _composed(spark, sf_dir):
     facts = _facts(spark, sf_dir)
     known = cut(_subjects(facts))
-    # A short window for contexts, so that every mix of levels occurs.
     context_rows = suggestions.rank_context(
-        projections.daily(facts, contextual=True), known, base.definitions(spark), base.AS_OF, days=2, limit=LIMIT
+        projections.daily(facts, contextual=True), known, base.definitions(spark), base.AS_OF, limit=LIMIT
     )
     global_rows = suggestions.rank_global(projections.daily(facts), known, base.AS_OF, limit=LIMIT)
     requests = _requests(spark, sf_dir)
@@ -254,7 +254,7 @@ def _composed(spark, sf_dir):
 
 
 _COMPOSED = (
-    _DAILY.replace("timezone_name as date) - 29", "timezone_name as date) - 1")
+    _DAILY.replace("position <= 10", f"position <= {LIMIT}")
     + _REQUESTS
     + """
 , offered as (
@@ -268,9 +268,9 @@ _COMPOSED = (
 ),
 answers as (
     select *, row_number() over (partition by tenant_id, context_key, context_version order by level, position) as rank
-    from offered qualify rank <= 10
+    from offered qualify rank <= <<limit>>
 )
-"""
+""".replace("<<limit>>", str(LIMIT))
 )
 
 
@@ -318,7 +318,7 @@ from orders
     _COMPOSED
     + base.sql(
         """
-, done as (select max(completed_at) filter (projection_name = 'subject_global') as g, max(completed_at) filter (projection_name = 'subject_context') as c
+, done as (select max(completed_at) filter (projection_name = 'subject_global') as g, max(completed_at) filter (projection_name = 'subject_context') + interval 152 days as c
            from (<<ledger>>) where status = 'completed'),
 n as (select r.tenant_id, r.context_key, count(*) filter (level = 0) as own, count(*) filter (level = 1) as fill
       from requests r left join answers a using (tenant_id, context_key, context_version) group by all),
@@ -339,9 +339,10 @@ def suggestion_envelopes(spark, sf_dir):
     """Level, freshness and error of every composed answer."""
     requests, results = _composed(spark, sf_dir)
     statuses = suggestions.context_status(requests.select("context_key", "context_version").distinct(), base.definitions(spark))
-    rows = suggestions.envelopes(
-        requests, results, statuses, _ledger(spark, sf_dir), datetime(2002, 1, 1, tzinfo=timezone.utc)
-    )
+    # The context runs go on for some months after the global ones have stopped, so answers from contexts alone are fresh.
+    later = F.when(F.col("projection_name") == "subject_context", F.expr("interval 152 days")).otherwise(F.expr("interval 0 days"))
+    ledger = _ledger(spark, sf_dir).withColumns({c: F.col(c) + later for c in ("started_at", "completed_at")})
+    rows = suggestions.envelopes(requests, results, statuses, ledger, datetime(2002, 1, 1, tzinfo=timezone.utc))
     return rows.drop("context_version")
 
 

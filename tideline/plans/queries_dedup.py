@@ -48,10 +48,21 @@ def idempotency_repeats(spark, sf_dir):
     return dedup.flag_repeats(narrow, ["_key"], F.struct(*ORDER), applies=applies).select("stream_id", "repeat")
 
 
-@query("C3", _repeats_sql("tenant_id, site_id, logical_event_id", "(trim(idempotency_key) = '' and logical_event_id <> '')"))
+@query(
+    "C3",
+    _repeats_sql("tenant_id, site_id, logical_event_id", "(trim(idempotency_key) = '' and logical_event_id <> '')")
+    + """
+union all
+select 'lay-' || cast(event_id as string) || '-0', event_type = 'error'
+       and row_number() over (partition by user_id % 40, event_type = 'error' order by ts, 'lay-' || cast(event_id as string)) > 1
+from events
+""",
+)
 def logical_repeats(spark, sf_dir):
     """Repeats of a logical id, which only counts without an idempotency key."""
-    rows = _placed(spark, sf_dir).withColumn("_key", dedup.scoped(F.col("logical_event_id")))
+    layered = adapters.layered(spark, sf_dir).drop("properties", "context")
+    both = _placed(spark, sf_dir).unionByName(validation.join_sites(layered, base.sites(spark, sf_dir)))
+    rows = both.withColumn("_key", dedup.scoped(F.col("logical_event_id")))
     narrow = rows.select(*ORDER, "_key", "idempotency_key", "logical_event_id")
     applies = (F.trim("idempotency_key") == "") & (F.col("logical_event_id") != "")
     return dedup.flag_repeats(narrow, ["_key"], F.struct(*ORDER), applies=applies).select("stream_id", "repeat")
@@ -87,8 +98,8 @@ def semantic_repeats(spark, sf_dir):
     )
 
 
-def _line_repeats(spark, sf_dir, name):
-    events = items.with_lines(adapters.order_events(spark, sf_dir).where(F.col("event_name") == name))
+def _line_repeats(rows, name):
+    events = items.with_lines(rows.where(F.col("event_name") == name))
     fields = items.key_fields(F.col("lines"), F.col("properties"))
     keyed = events.select(
         *ORDER, F.explode(dedup.item_keys(F.col("event_name"), fields, F.col("session_id"))).alias("_key")
@@ -118,21 +129,27 @@ select event_id, bool_or(again) as repeat, count(*) as keys from r group by even
 )
 def item_impression_repeats(spark, sf_dir):
     """Impressions of an item already seen in the same list, surface and session."""
-    return _line_repeats(spark, sf_dir, "item_impression")
+    return _line_repeats(adapters.order_events(spark, sf_dir), "item_impression")
 
 
 @query(
     "C6",
     f"""
 with k as (select distinct event_id, received_at, stream_id, concat_ws(':', tenant_id, site_id, cast(o_orderkey as string),
-               cast(l_linenumber as string)) as key from {_LINES} where event_name = 'purchase_completed'),
+               cast(l_linenumber as string)) as key from {_LINES} where event_name = 'purchase_completed'
+           union all
+           select 'lay-' || cast(event_id as string), ts, 'lay-' || cast(event_id as string) || '-0', 'layered o' || cast(user_id % 60 as string)
+           from events where event_type = 'purchase'),
 r as (select event_id, row_number() over (partition by key order by received_at, event_id, stream_id) > 1 as again from k)
 select event_id, bool_or(again) as repeat, count(*) as keys from r group by event_id
 """,
 )
 def purchase_line_repeats(spark, sf_dir):
     """Purchases with an order line that was reported before."""
-    return _line_repeats(spark, sf_dir, "purchase_completed")
+    columns = [*ORDER, "event_name", "tenant_id", "site_id", "session_id", "properties"]
+    layered = validation.join_sites(adapters.layered(spark, sf_dir), base.sites(spark, sf_dir))
+    rows = adapters.order_events(spark, sf_dir).select(*columns).unionByName(layered.select(*columns))
+    return _line_repeats(rows, "purchase_completed")
 
 
 # Repeats share every key, so each row's fate follows from its kind: first, a minute later, a day later.

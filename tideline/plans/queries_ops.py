@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.operators import audit, designs, dimension, lookups, monitoring, projections
-from tideline.plans import base
+from tideline.plans import base, history, projection
 from tideline.plans.catalog import query
 from tideline.plans.queries_daily import LEDGER, _ledger
 from tideline.plans.queries_dedup import _DECIDED, _process
 from tideline.plans.queries_subjects import _DIMENSION, _dimension
+from tideline.plans.registry_store import RegistryStore
 from tideline.plans.tables import Tables
 from tideline.session import cut, new_folder
 from tideline.sources import adapters, envelope
@@ -100,6 +103,59 @@ def streamed_tables(spark, sf_dir):
     )
 
 
+_LIFECYCLE = base.FACTS + "," + _DECIDED.strip().removeprefix("with") + """,
+told as (
+    select f.*, cast(split_part(f.context_key, '-', 2) as int) as c from facts f
+    where exists (select 1 from decided d where d.turn = 0 and d.outcome = 'inserted' and d.n = f.n)
+),
+resolved as (
+    select *, case when context_key is null then 'family_unresolved' when c = 3 then 'unregistered' when c = 2 then 'inactive_context'
+                   else 'registered' end as status from told
+)
+select 'facts' as what, status as label, count(*) as n from resolved group by status
+union all
+select 'unregistered', context_key, count(*) from resolved where status = 'unregistered' group by context_key
+union all
+select 'associations', context_key, count(*) from resolved
+where status = 'registered' and normalization_status = 'normalized' and event_name = 'subject_associated' group by context_key
+union all
+select 'refresh', unnest(['loaded', 'loaded', 'invalid', 'rejected', 'source_error']), 1
+union all
+select 'resolved again', '', 0
+"""
+
+
+@query("F3 F4 F5 F7 F8 F9 J1", _LIFECYCLE)
+def registry_lifecycle(spark, sf_dir):
+    """Half of the messages before any publication, half after one; documents that may not be published; the history resolved,
+    projected, and resolved once more."""
+    raw = adapters.raw(spark, sf_dir, repeats=False)
+    messages = cut(raw.select(
+        "stream_id", envelope.to_message(raw).alias("payload"), F.lit(None).cast("int").alias("delivery_count"), "received_at"
+    ))
+    sites, tables = base.sites(spark, sf_dir), Tables(spark, new_folder(spark))
+    store, at = RegistryStore(tables), datetime(2024, 2, 1, tzinfo=timezone.utc)
+    good = adapters.registry(spark)
+    broken = good.withColumns({"registry_version": F.lit(2).cast("long"), "registry_revision": F.lit("rev-2"), "contexts": F.concat("contexts", "contexts")})
+    older = good.withColumn("registry_revision", F.lit("rev-0"))
+    later = F.col("received_at") >= F.lit(datetime(2024, 1, 16, tzinfo=timezone.utc))
+    jobs.process_batch(tables, messages.where(~later).drop("received_at"), 0, sites, [], *store.active())
+    said = [store.refresh(good, at)]
+    jobs.process_batch(tables, messages.where(later).drop("received_at"), 1, sites, [], *store.active())
+    said += [store.refresh(document, at) for document in (good, broken, older, None)]
+    history.resolve(tables, at)
+    projection.run_all(tables, tables.read("facts"), jobs.subjects(tables), at)
+    again = history.resolve(tables, at)
+    days = projection.read_daily(tables, True).groupBy("context_key").agg(F.sum("association_count").alias("n")).where("n > 0")
+    parts = [
+        tables.read("facts").groupBy(F.col("context_resolution_status").alias("label")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("facts").alias("what"), "label", "n"),
+        history.unregistered_contexts(tables).select(F.lit("unregistered").alias("what"), F.col("context_key").alias("label"), F.col("event_count").alias("n")),
+        days.select(F.lit("associations").alias("what"), F.col("context_key").alias("label"), "n"),
+        spark.createDataFrame([("refresh", s, 1) for s in said] + [("resolved again", "", again)], "what string, label string, n long"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "H8 K1",
     base.FACTS
