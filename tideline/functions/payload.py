@@ -68,12 +68,29 @@ def as_pure_text(value: Column) -> Column:
     return F.when(is_string(value), as_text(value)).otherwise(F.lit(""))
 
 
+def number_of(text: Column) -> Column:
+    """Numeric text as double, NULL for any other."""
+    text = trimmed(text)
+    return F.when(text.rlike(NUMERIC), text.try_cast("double"))
+
+
 def as_number(value: Column) -> Column:
-    """Number or numeric text as double; booleans and everything else NULL."""
-    text = trimmed(F.try_variant_get(value, "$", "string"))
-    return F.when(is_number(value), F.try_variant_get(value, "$", "double")).when(
-        is_string(value) & text.rlike(NUMERIC), text.try_cast("double")
-    )
+    """Number or numeric text as double; booleans and everything else NULL. The text of a number is numeric, that of a boolean,
+    object or array isn't, so kinds need no look of their own."""
+    return number_of(F.try_variant_get(value, "$", "string"))
+
+
+def long_of(text: Column) -> Column:
+    return number_of(text).cast("bigint")
+
+
+def int_of(text: Column) -> Column:
+    return number_of(text).cast("bigint").try_cast("int")
+
+
+def time_of(text: Column, pattern: str = RFC3339) -> Column:
+    text = text_or_empty(text)
+    return F.when(text.rlike(pattern), F.try_to_timestamp(text))
 
 
 def as_long(value: Column) -> Column:

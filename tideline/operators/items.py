@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tideline import vocab
 from tideline.functions import payload as pl
 from tideline.functions.once import once
+from tideline.functions.text import text_or_empty
 
 _TEXT = (
     "item_id", "variant_id", "sku", "item_type", "item_class_id", "surface", "search_term",
@@ -86,37 +87,62 @@ def key_fields(line_array: Column, properties: Column) -> Column:
     )
 
 
-_MEMBERS = (*_TEXT, "category_ids", *_INT, "visible_time_ms", "rendered_at", *_DECIMAL, "metadata")
+_PLAIN = (*_TEXT, *_INT, "visible_time_ms", "rendered_at", *_DECIMAL)
 
 
-def _members(value: Column, names) -> Column:
-    """The named members of an object as a struct, read in one pass; absent ones are NULL."""
-    fields = ", ".join(f"{n}: variant" for n in names)
+def _texts(value: Column, names) -> Column:
+    """The named members of an object as a struct of texts, read in one pass; absent and null ones are NULL.
+
+    Members as VARIANT would each carry the whole payload's dictionary along.
+    """
+    fields = ", ".join(f"{n}: string" for n in names)
     return F.try_variant_get(value, "$", f"struct<{fields}>")
 
 
+def _hidden(value: Column, names) -> Column:
+    """Names of the members that are null, which hide those of the event; NULL for an object without any null."""
+    nulls = [F.when(F.is_variant_null(pl.member(value, f"$.{n}")), F.lit(n)) for n in names]
+    return F.when(F.contains(F.to_json(value), F.lit(":null")), F.filter(F.array(*nulls), lambda n: n.isNotNull()))
+
+
+def _over(own: str, header: str, hidden: str):
+    """Members of one object over those of another, by name."""
+
+    def value(name: str) -> Column:
+        shown = F.col(hidden).isNull() | ~F.array_contains(hidden, name)
+        return F.coalesce(F.col(f"{own}.{name}"), F.when(shown, F.col(f"{header}.{name}")))
+
+    return value
+
+
 def item_rows(events: DataFrame) -> DataFrame:
     """One row per line, with the line's members over the event's and coerced to column types."""
     inherited = [c for c in _EVENT if c in events.columns]
-    listed = with_lines(events).select(
-        *inherited, "lines", _members(F.col("properties"), _MEMBERS).alias("_header")
-    )
-    exploded = listed.select(*inherited, "_header", F.posexplode("lines").alias("line_index", "line"))
-    read = once(exploded, {"_line": _members(F.col("line"), _MEMBERS)})
-    # A null member of the line is a VARIANT null, not NULL, so it hides the header's.
-    merged = once(read, {n: F.coalesce(F.col(f"_line.{n}"), F.col(f"_header.{n}")) for n in _MEMBERS})
-    value = F.col
-    typed = merged.select(
-        *inherited,
-        "line_index",
-        *[pl.as_text(value(n)).alias(n) for n in _TEXT],
-        pl.as_text_list(value("category_ids")).alias("category_ids"),
-        *[pl.as_int(value(n)).alias(n) for n in _INT],
-        pl.as_long(value("visible_time_ms")).alias("visible_time_ms"),
-        pl.as_time(value("rendered_at")).alias("rendered_at"),
-        *[pl.as_number(value(n)).cast(t).alias(n) for n, t in _DECIMAL.items()],
-        pl.object_or_empty(value("metadata")).alias("metadata"),
+    properties, line = F.col("properties"), F.col("line")
+    lists = {n: pl.member(properties, f"$.{n}").alias(f"_header_{n}") for n in ("category_ids", "metadata")}
+    listed = with_lines(events).where("lines is not null").select(
+        *inherited, "lines", _texts(properties, _PLAIN).alias("_header"), *lists.values()
     )
+    kept = [*inherited, "_header", *[f"_header_{n}" for n in lists]]
+    exploded = listed.select(*kept, F.posexplode("lines").alias("line_index", "line"))
+    read = once(
+        exploded,
+        {
+            "_line": _texts(line, _PLAIN), "_hidden": _hidden(line, _PLAIN),
+            **{f"_line_{n}": F.coalesce(pl.member(line, f"$.{n}"), F.col(f"_header_{n}")) for n in lists},
+        },
+    )
+    value = _over("_line", "_header", "_hidden")
+    columns = {
+        **{n: text_or_empty(value(n)) for n in _TEXT},
+        "category_ids": pl.as_text_list(F.col("_line_category_ids")),
+        **{n: pl.int_of(value(n)) for n in _INT},
+        "visible_time_ms": pl.long_of(value("visible_time_ms")),
+        "rendered_at": pl.time_of(value("rendered_at")),
+        **{n: pl.number_of(value(n)).cast(t) for n, t in _DECIMAL.items()},
+        "metadata": pl.object_or_empty(F.col("_line_metadata")),
+    }
+    typed = once(read, columns).select(*inherited, "line_index", *columns)
     marked = typed.withColumn("missing_fields", missing_fields(F.col("event_name"), F.col))
     incomplete = F.size("missing_fields") > 0
     flags = F.create_map(
@@ -135,19 +161,22 @@ def item_rows(events: DataFrame) -> DataFrame:
 
 def order_rows(events: DataFrame) -> DataFrame:
     """One header per checkout or purchase; `properties.order` members go over the event's."""
-    names = (*_ORDER_TEXT, *_ORDER_AMOUNTS, "metadata")
+    names = (*_ORDER_TEXT, *_ORDER_AMOUNTS)
     inherited = [
         c for c in ("event_id", "tenant_id", "site_id", "site_code", "event_name", "event_time") if c in events.columns
     ]
     header = F.col("properties")
+    order = pl.member(header, "$.order")
     rows = events.where(F.col("event_name").isin(*vocab.ORDER_EVENTS)).select(
-        *inherited, _members(header, names).alias("_header"), _members(pl.member(header, "$.order"), names).alias("_order")
-    )
-    merged = once(rows, {n: F.coalesce(F.col(f"_order.{n}"), F.col(f"_header.{n}")) for n in names})
-    return merged.select(
+        *inherited, _texts(header, names).alias("_header"), order.alias("_own"),
+        F.coalesce(pl.member(order, "$.metadata"), pl.member(header, "$.metadata")).alias("metadata"),
+    )
+    read = once(rows, {"_order": _texts(F.col("_own"), names), "_hidden": _hidden(F.col("_own"), names)})
+    value = _over("_order", "_header", "_hidden")
+    return read.select(
         *inherited,
-        *[pl.as_text(F.col(n)).alias(n) for n in _ORDER_TEXT],
-        *[pl.as_number(F.col(n)).cast("decimal(18,4)").alias(n) for n in _ORDER_AMOUNTS],
+        *[text_or_empty(value(n)).alias(n) for n in _ORDER_TEXT],
+        *[pl.number_of(value(n)).cast("decimal(18,4)").alias(n) for n in _ORDER_AMOUNTS],
         pl.object_or_empty(F.col("metadata")).alias("metadata"),
     )
 
