@@ -276,11 +276,45 @@ def test_foreign_archives_and_lost_files(spark, tmp_path):
     assert warc.read(spark, str(tmp_path)).count() == 2
 
 
+def test_measures_are_of_the_bytes(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    path = staging_path(spark, "warc")
+    warc.write(warc.page_records(pages), path)
+    found = {r.record_id: (r.record_type, r.payload_length, r.payload_digest) for r in warc.measured(spark, path).collect()}
+    assert found["urn:page:3"] == ("response", 4, digest(b"same")) and found["urn:page:9"] == ("revisit", 4, digest(b"same"))
+    assert found["urn:page:1"] == ("response", 200_000, digest("é".encode() * 100_000)) and len(found) == len(PAGES) - 1
+
+    def record(kind, n, body, sha1, refers=None):
+        head, http = warc.record_head(kind, f"urn:page:{n}", "http://x/", refers, sha1, len(body), "2020-01-01T00:00:00Z")
+        return warc.member(head + http + (body if kind == "response" else b"") + b"\r\n\r\n", 6)
+
+    told = hashlib.sha1(b"abc").hexdigest()
+    other = record("response", 1, b"abX", told) + record("revisit", 2, b"abc", told, "urn:page:1")
+    (tmp_path / "other.warc.gz").write_bytes(other)
+    assert {r.record_id: (r.payload_length, r.payload_digest) for r in warc.measured(spark, str(tmp_path)).collect()} == {"urn:page:1": (3, digest(b"abX")), "urn:page:2": (None, None)}
+    damaged = bytearray(record("response", 1, bytes(range(256)) * 40, told))
+    damaged[len(damaged) // 2] ^= 255
+    (tmp_path / "other.warc.gz").write_bytes(bytes(damaged))
+    with pytest.raises(Exception):
+        warc.measured(spark, str(tmp_path)).collect()
+
+
+def test_long_http_headers(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\n" + b"".join(b"X-%d: %s\r\n" % (i, b"y" * 1000) for i in range(150)) + b"\r\n"
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <u:1>\r\nContent-Length: %d\r\n\r\n" % (len(http) + 3)
+    one = head + http + b"abc\r\n\r\n"
+    (tmp_path / "plain.warc").write_bytes(one)
+    (tmp_path / "packed.warc.gz").write_bytes(gzip.compress(one))
+    (tmp_path / "ours.warc.gz").write_bytes(warc.member(one, 6))
+    for payload in (True, False):
+        assert [r.payload_length for r in warc.read(spark, str(tmp_path), payload).collect()] == [3, 3, 3]
+
+
 def test_empty_archive(spark):
     path = staging_path(spark, "warc")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write(warc.page_records(pages), path)
-    assert warc.read(spark, path).count() == 0
+    assert warc.read(spark, path).count() == 0 and warc.measured(spark, path).count() == 0
 
 
 # --- pipeline --------------------------------------------------------------------------------------------------------

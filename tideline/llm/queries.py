@@ -87,10 +87,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written to WARC archives and read back, payloads seen but not decoded."""
+    """Every page written to WARC archives and read back; length and digest are those of the bytes read."""
     path = staging_path(spark, "warc")
     warc.write(warc.page_records(table(spark, sf_dir, "pages")), path)
-    back = warc.read(spark, path, payload=False)
+    back = warc.measured(spark, path)
     return back.select(
         warc.page_number(F.col("record_id")).alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type",
         warc.page_number(F.col("refers_to")).alias("refers_to"),

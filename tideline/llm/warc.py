@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
+from tideline.llm.common import cut
+
 HEADERS = ("record_type", "record_id", "target_uri", "date", "refers_to", "payload_digest")
 _NAMES = dict(zip(("warc-type", "warc-record-id", "warc-target-uri", "warc-date", "warc-refers-to", "warc-payload-digest"), HEADERS))
 _CONTROL = re.compile(r"[\x00-\x1f\x7f]")
@@ -93,6 +95,11 @@ def _parse(head: bytes) -> tuple[dict[str, str], int]:
     return fields, int(pairs.get("content-length", 0))
 
 
+def _http_open(data: bytes, block: int) -> bool:
+    """Whether data is the start of an HTTP header that goes on behind it."""
+    return len(data) < min(block, MOST_HEADER_BYTES) and b"HTTP/".startswith(data[:5]) and b"\r\n\r\n" not in data
+
+
 def _payload_length(fields: dict[str, str], block: int, http: bytes) -> tuple[int, int]:
     """Length of the HTTP header in front of the payload, and of the payload itself."""
     end = http.find(b"\r\n\r\n") + 4 if http.startswith(b"HTTP/") else 0
@@ -124,10 +131,12 @@ def _from_stream(f: io.BufferedIOBase, wanted, with_payload: bool) -> Iterator[R
             continue
         if with_payload:
             data = f.read(block)
-            begin, length = _payload_length(fields, block, data[:65536])
+            begin, length = _payload_length(fields, block, data[:MOST_HEADER_BYTES])
             yield Record(fields, length, data[begin:])
         else:
             http = f.read(min(block, 4096))
+            while _http_open(http, block):
+                http += f.read(min(block - len(http), 65536))
             _, length = _payload_length(fields, block, http)
             f.seek(block - len(http), io.SEEK_CUR)
             yield Record(fields, length, None)
@@ -152,10 +161,11 @@ def _from_members(f: io.BufferedIOBase, wanted, with_payload: bool) -> Iterator[
             data += inflate.decompress(inflate.unconsumed_tail)
             if zlib.crc32(data) != struct.unpack("<I", packed[-8:-4])[0]:
                 raise ValueError(f"damaged record {fields.get('record_id')}")
-        elif len(data) < end + 4 + min(block, 2048):
-            data += inflate.decompress(inflate.unconsumed_tail, 4096)
+        else:
+            while _http_open(data[end + 4 :], block) and (more := inflate.decompress(inflate.unconsumed_tail, 4096)):
+                data += more
         body = data[end + 4 : end + 4 + block]
-        begin, length = _payload_length(fields, block, body[:65536])
+        begin, length = _payload_length(fields, block, body[:MOST_HEADER_BYTES])
         yield Record(fields, length, body[begin:] if with_payload else None)
 
 
@@ -339,6 +349,31 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
+def digest(payload: Column) -> Column:
+    """Bare upper-case base32 SHA-1 of bytes."""
+
+    @F.arrow_udf("string")
+    def base32(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array((h if h is None else base64.b32encode(bytes.fromhex(h)).decode() for h in batch.to_pylist()), pa.string())
+
+    return base32(F.sha1(payload))
+
+
+def measured(spark: SparkSession, path: str) -> DataFrame:
+    """(record_id, record_type, refers_to, payload_length, payload_digest) of each record, length and digest taken from the bytes.
+
+    Responses are read with their payloads. Revisits have none; they get what was measured on the response that they refer to, if
+    its digest is the one that they state, else nulls.
+    """
+    bodies = read(spark, path).where("record_type = 'response'")
+    own = cut(bodies.select("record_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_length"), digest(F.col("payload")).alias("payload_digest")))
+    stated = read(spark, path, payload=False).where("record_type = 'revisit'").select("record_id", "record_type", "refers_to", F.col("payload_digest").alias("stated"))
+    theirs = own.select(F.col("record_id").alias("of"), F.col("payload_length"), "payload_digest").distinct()
+    same = (F.col("refers_to") == F.col("of")) & (F.col("stated") == F.col("payload_digest"))
+    return own.unionByName(stated.join(theirs, same, "left").select(*own.columns))
+
+
 def page_number(record_id: Column) -> Column:
     """The page_id in a record id of page_records(); null for records of pages without one."""
     return F.when(record_id.startswith("urn:page:"), F.substring(record_id, 10, 20).cast("long"))
