@@ -7,6 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from helpers import LONG, ODD_TEXTS, empty, odd
 from pyspark.sql import functions as F
 
