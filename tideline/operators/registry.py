@@ -125,11 +125,9 @@ def publish(
     )
     rows = entries(registry)
     active = revisions.where("status = 'valid' and activated_at is not null")
+    others = active.join(new.select("registry_revision"), "registry_revision", "left_anti")
     checks = {
-        "the registry version must grow": new.join(
-            active.select(F.col("registry_version").alias("_v"), F.col("registry_revision").alias("_r")),
-            (F.col("registry_revision") != F.col("_r")) & (F.col("registry_version") <= F.col("_v")),
-        ),
+        "the registry version must grow": new.where(F.col("registry_version") <= others.select(F.max("registry_version")).scalar()),
         "revision reused with another checksum": new.join(
             revisions.select(F.col("payload_checksum").alias("_c"), F.col("registry_revision").alias("_r")),
             (F.col("registry_revision") == F.col("_r")) & (F.col("payload_checksum") != F.col("_c")),
