@@ -234,7 +234,7 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("lines")
     )
     heads = _as_instants(
-        spark.sql(ORDER_EVENTS, orders=read(spark, sf_dir, "orders"), customer=read(spark, sf_dir, "customer"))
+        spark.sql(ORDER_EVENTS, orders=read_spread(spark, sf_dir, "orders"), customer=read(spark, sf_dir, "customer"))
     )
     items = F.transform(
         "lines",
