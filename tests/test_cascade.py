@@ -194,3 +194,29 @@ def test_debounce_matches_a_loop(spark, spacing):
     df = spark.createDataFrame(rows, "id int, key string, t timestamp")
     got = dedup.debounce(df, ["key"], "t", timedelta(seconds=1), ["t", "id"])
     assert {r["id"]: r["kept"] for r in got.collect()} == expected
+
+
+@pytest.mark.parametrize("spacing, levels", [(0.4, 1), (0.7, 2), (400.0, 3)])
+def test_debounce_composes_blocks_level_by_level(spark, monkeypatch, spacing, levels):
+    """Points over thousands of blocks: runs in which every point is close to the next across blocks, gaps, null keys."""
+    rng, rows = random.Random(11), []
+    for key, n in (("a", 900), (None, 300)):
+        at = 0.0
+        for _ in range(n):
+            at += spacing * rng.choice([0.5, 1.0, 1.0, 1.3]) if spacing < 1 or rng.random() < 0.7 else rng.random()
+            rows.append((len(rows), key, START + timedelta(seconds=round(at, 3))))
+    if levels == 2:
+        rows += [(len(rows) + i, "a", START + timedelta(seconds=70 * 60 + 0.9 * i)) for i in range(200)]
+    expected, last = {}, {}
+    for i, key, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        expected[i] = key not in last or t - last[key] >= timedelta(seconds=1)
+        if expected[i]:
+            last[key] = t
+    seen, composed = [], dedup._composed
+    monkeypatch.setattr(dedup, "_composed", lambda *a: seen.append(composed(*a)) or seen[0])
+    df = spark.createDataFrame(rows, "id int, key string, t timestamp")
+    got = dedup.debounce(df, ["key"], "t", timedelta(seconds=1), ["t", "id"])
+    assert {r["id"]: r["kept"] for r in got.collect()} == expected
+    assert len(seen[0]) == levels
+    assert all(level.selectExpr("max(size(_blocks))").first()[0] <= 64 for level in seen[0])
+    assert seen[0][-1].groupBy("key" if "key" in seen[0][-1].columns else "_k0").count().where("count > 1").isEmpty()

@@ -429,9 +429,9 @@ def debounce(df: DataFrame, keys: list[str], at: str, window: timedelta, order:
 
     Keys without any two rows that close keep everything and never leave the JVM. The others are
     walked in blocks of sixty windows: every block answers, for each threshold that may reach it,
-    which threshold it hands on; the answers are chained per key over that small table; then every
-    block is walked once from its true threshold. No task holds more than one block of a key, or the answers of
-    all its blocks. Null keys are one key.
+    which threshold it hands on. These maps are composed by sixty-fours, level by level, and the thresholds
+    handed down again the same way; then every block is walked once from its true threshold. No task needs more of a key
+    than one block or sixty-four maps. Null keys are one key.
     """
     from tideline.operators import ordered
 
@@ -458,11 +458,12 @@ def debounce(df: DataFrame, keys: list[str], at: str, window: timedelta, order:
     key_ddl = ", ".join(f"{n} {types[n]}" for n in names)
 
     answers = points.groupBy(*names, "_block").applyInPandas(
-        _block_answers(names, micros, size), f"{key_ddl}, _block bigint, _upto bigint, _on bigint"
-    )
-    entries = answers.groupBy(*names).applyInPandas(
-        _chain(names), f"{key_ddl}, _block bigint, _from bigint"
+        _block_answers(names, micros, size), f"{key_ddl}, _block bigint, _start bigint, _steps {_STEPS}"
     )
+    levels = _composed(cut(answers), names, micros)
+    entries = levels[-1].select(*names, F.inline(_handed_down("_blocks", F.lit(_NEVER))))
+    for level in reversed(levels[:-1]):
+        entries = with_equal(level, entries, ["_block"]).select(*names, F.inline(_handed_down("_blocks", F.col("_from"))))
     walked = (
         with_equal(points, entries, ["_block"])
         .groupBy(*names, "_block")
@@ -480,6 +481,70 @@ def debounce(df: DataFrame, keys: list[str], at: str, window: timedelta, order:
     return joined.withColumn("kept", kept).select(*df.columns, "kept")
 
 
+#: What blocks make of a threshold: the first step whose _upto isn't below it has the next one; beyond the last it stays.
+_STEPS = "array<struct<_upto: bigint, _on: bigint>>"
+
+#: The threshold of a key's first block.
+_NEVER = -(1 << 63)
+
+
+def _after(steps, threshold):
+    return F.coalesce(F.get(F.filter(steps, lambda s: s["_upto"] >= threshold), F.lit(0))["_on"], threshold)
+
+
+def _then(first, second, micros):
+    """The map of two neighbouring spans.
+
+    A threshold is less than a window behind the first span's start. One that no step of the first takes up lies ahead of all
+    of the second, so one step more says what becomes of it; neighbours with one outcome are one step.
+    """
+    on = F.transform(first["_steps"], lambda s: F.struct(s["_upto"], _after(second["_steps"], s["_on"]).alias("_on")))
+    open_ = F.get(first["_steps"], F.size(first["_steps"]) - 1)["_upto"] < first["_start"] + micros
+    steps = F.concat(on, F.when(open_, F.slice(second["_steps"], 1, 1)).otherwise(F.array().cast(_STEPS)))
+    return F.struct(first["_start"], steps.alias("_steps"))
+
+
+def _merged(steps):
+    return F.filter(steps, lambda s, i: ~F.coalesce(F.get(steps, i + 1)["_on"] == s["_on"], F.lit(False)))
+
+
+def _composed(answers: DataFrame, names: list[str], micros: int) -> list[DataFrame]:
+    """Level by level, the maps of up to 64 neighbouring blocks and those blocks, until each key has a single one."""
+    low, high = answers.agg(F.min("_block"), F.max("_block")).first()
+    base, left = low or 0, (high or 0) - (low or 0)
+    current, levels = answers, []
+    while True:
+        group = F.shiftright(F.col("_block") - F.lit(base).cast("bigint"), 6)
+        blocks = F.sort_array(F.collect_list(F.struct("_block", "_start", "_steps")))
+        grouped = current.groupBy(*names, group.alias("_group")).agg(blocks.alias("_blocks"))
+        head = F.get("_blocks", F.lit(0))
+        whole = F.aggregate(
+            F.expr("slice(_blocks, 2, 64)"), F.struct(head["_start"], head["_steps"]), lambda sofar, b: _then(sofar, b, micros)
+        )
+        level = grouped.withColumn("_whole", whole).select(
+            *names, F.col("_group").alias("_block"), F.col("_whole._start").alias("_start"), _merged(F.col("_whole._steps")).alias("_steps"), "_blocks"
+        )
+        levels.append(cut(level))
+        base, left = 0, left >> 6
+        if not left:
+            return levels
+        current = levels[-1].drop("_blocks")
+
+
+def _handed_down(blocks: str, threshold):
+    """array of (_block, _from): the threshold that reaches each block."""
+    empty = F.array().cast("array<struct<_block: bigint, _from: bigint>>")
+    return F.aggregate(
+        blocks,
+        F.struct(threshold.cast("bigint").alias("at"), empty.alias("out")),
+        lambda sofar, b: F.struct(
+            _after(b["_steps"], sofar["at"]).alias("at"),
+            F.concat(sofar["out"], F.array(F.struct(b["_block"], sofar["at"].alias("_from")))).alias("out"),
+        ),
+        lambda sofar: sofar["out"],
+    )
+
+
 # The walkers below use nothing of this module, so workers need no copy of the package.
 
 
@@ -501,8 +566,8 @@ def _block_answers(names, micros, size):
             live = at < len(times)
         onward = times[last] + micros
         keep = np.append(onward[1:] != onward[:-1], True)
-        out = pd.DataFrame({"_upto": times[:count][keep], "_on": onward[keep]})
-        out.insert(0, "_block", pdf["_block"].iloc[0])
+        steps = [{"_upto": int(u), "_on": int(o)} for u, o in zip(times[:count][keep], onward[keep])]
+        out = pd.DataFrame({"_block": [pdf["_block"].iloc[0]], "_start": [start], "_steps": [steps]})
         for position, name in enumerate(names):
             out.insert(position, name, pdf[name].iloc[0])
         return out
@@ -510,30 +575,6 @@ def _block_answers(names, micros, size):
     return answer
 
 
-def _chain(names):
-    def chain(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values(["_block", "_upto"])
-        blocks, froms, threshold = [], [], None
-        for block, steps in pdf.groupby("_block", sort=True):
-            upto, onward = steps["_upto"].to_numpy(), steps["_on"].to_numpy()
-            if threshold is None:
-                threshold = int(np.iinfo("int64").min)
-            blocks.append(block)
-            froms.append(threshold)
-            position = int(np.searchsorted(upto, threshold, side="left"))
-            if position < len(upto):
-                threshold = int(onward[position])
-        out = pd.DataFrame({"_block": blocks, "_from": froms})
-        for position, name in enumerate(names):
-            out.insert(position, name, pdf[name].iloc[0])
-        return out
-
-    return chain
-
-
 def _walk(names, micros):
     def walk(pdf):
         import numpy as np
