@@ -8,7 +8,7 @@ from test_jobs import T0, message, site_table
 
 from tideline import schemas
 from tideline.operators import dimension
-from tideline.plans import history, keys, projection
+from tideline.plans import erasure, history, keys, projection
 from tideline.plans.registry_store import RegistryStore
 from tideline.plans.tables import Tables
 from tideline.sources import changes
@@ -150,3 +150,63 @@ def test_a_lapsed_claim_is_taken_over(tables):
             assert (lost, taken, third) == (True, True, False)
         with tables.claim("x") as free:
             assert free
+
+
+def filled(spark, tables):
+    """Three events of two subjects, projected."""
+    batch(spark, tables, 0, [message("e1", idempotency_key="k1"), message("e2", subject="43", at=T0 + timedelta(days=1))])
+    batch(spark, tables, 1, [message("e3", subject="43", at=T0 + timedelta(days=1), received=T0 + timedelta(days=2))])
+    projection.run_all(tables, tables.read("facts"), jobs.subjects(tables), T0 + timedelta(days=3))
+
+
+def rows_of(tables):
+    names = {"events": "event_id", "facts": "event_id", "keys": "event_id", "subject_changes": "external_subject_id", "global_daily": "external_subject_id"}
+    out = {}
+    for name, column in names.items():
+        found = tables.read_or_none(name)
+        out[name] = set() if found is None else {r[0] for r in found.select(column).collect()}
+    return out
+
+
+@pytest.mark.parametrize("cut_off", [None, "facts", "global_daily"])
+def test_erasure_takes_all_that_hangs_on_an_event(spark, tables, monkeypatch, cut_off):
+    filled(spark, tables)
+    ids = spark.createDataFrame([("e2",), ("e2",), ("none",), (None,)], "event_id string")
+    people = tables.read("subject_changes").where("external_subject_id = '42'").select(*dimension.KEY)
+    if cut_off:
+        done = Tables.remove
+
+        def lost(self, *parts):
+            if parts[0] == cut_off:
+                raise RuntimeError("lost")
+            return done(self, *parts)
+
+        monkeypatch.setattr(Tables, "remove", lost)
+        with pytest.raises(RuntimeError):
+            erasure.erase(tables, "r1", T0, ids, people)
+        monkeypatch.setattr(Tables, "remove", done)
+    counts = erasure.erase(tables, "r1", T0, ids, people)
+    assert rows_of(tables) == {
+        "events": {"e1", "e3"}, "facts": {"e1", "e3"}, "keys": {"e1", "e3"}, "subject_changes": {"43"}, "global_daily": {"43"}
+    }
+    assert (counts["events"], counts["facts"], counts["global_daily"], counts["subject_changes"]) == (1, 1, 1, 1)
+    assert not tables.exists("_erasure/r1")
+    before = stored(tables, "events", "event_id", "event_date", "batch_id")
+    assert erasure.erase(tables, "r1", T0, ids, people) == counts
+    assert stored(tables, "events", "event_id", "event_date", "batch_id") == before
+
+
+def test_erasure_of_a_tenant_and_of_nothing(spark, tables):
+    filled(spark, tables)
+    tenant = tables.read("events").select("tenant_id").distinct()
+    nobody = spark.createDataFrame([("x",), (None,)], "tenant_id string")
+    assert sum(erasure.erase(tables, "r0", T0, tenants=nobody).values()) == 0
+    assert erasure.erase(tables, "r1", T0) == {}
+    with tables.claim(projection.claim_name(True, 1)):
+        assert erasure.erase(tables, "r2", T0, tenants=tenant) is None
+    counts = erasure.erase(tables, "r2", T0, tenants=tenant)
+    assert (counts["events"], counts["facts"], counts["subject_changes"]) == (3, 3, 3)  # one subject is told of in both batches
+    assert not any(rows_of(tables).values())
+    # what was erased may come again
+    batch(spark, tables, 2, [message("e1", idempotency_key="k1", received=T0 + timedelta(days=9))])
+    assert rows_of(tables)["events"] == {"e1"}

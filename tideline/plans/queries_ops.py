@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.operators import audit, designs, dimension, lookups, monitoring, projections
-from tideline.plans import base, history, projection
+from tideline.plans import base, erasure as erasure_job, history, projection
 from tideline.plans.catalog import query
 from tideline.plans.queries_daily import LEDGER, _ledger
 from tideline.plans.queries_dedup import _DECIDED, _process
@@ -353,6 +353,53 @@ def erasure(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+_ERASED = base.FACTS + "," + _DECIDED.strip().removeprefix("with") + """,
+ok as (select *, n % 5 = 0 or tenant_id = 'tenant-1' as gone from decided where turn = 0 and outcome = 'inserted'),
+told as (select f.*, o.gone from facts f join ok o on o.n = f.n),
+days as (
+    select tenant_id, external_subject_id, local_date, timezone_name, sum(cast(event_name <> 'page_view' as integer)) as signals from told
+    where normalization_status = 'normalized' group by all having signals > 0
+),
+sizes as (
+    select 'events' as what, tenant_id, count(*) as stored, count(*) filter (gone) as erased from ok group by tenant_id
+    union all select 'facts', tenant_id, count(*), count(*) filter (gone) from told group by tenant_id
+    union all select 'global_daily', tenant_id, count(*), count(*) filter (tenant_id = 'tenant-1') from days group by tenant_id
+)
+select what, tenant_id as label, stored - erased as n from sizes where stored > erased
+union all select 'erased', what, cast(sum(erased) as bigint) from sizes group by what
+union all select 'without event', 'facts', 0
+union all select 'without event', 'keys', 0
+union all select 'known subjects', 'tenant-1', 0
+"""
+
+
+@query("I8", _ERASED)
+def erased_tables(spark, sf_dir):
+    """Every fifth event and a whole tenant erased from the stored tables, all read back; then the same request once more."""
+    raw = adapters.raw(spark, sf_dir, repeats=False)
+    messages = raw.select("stream_id", envelope.to_message(raw).alias("payload"), F.lit(None).cast("int").alias("delivery_count"))
+    tables, at = Tables(spark, new_folder(spark)), datetime(2024, 2, 1, tzinfo=timezone.utc)
+    jobs.process_batch(tables, messages, 0, base.sites(spark, sf_dir), [], base.definitions(spark), adapters.REVISION)
+    projection.run(tables, tables.read("facts"), jobs.subjects(tables), False, at)
+    fifth = raw.where("sequence % 5 = 0").select("event_id")
+    tenant = spark.createDataFrame([("tenant-1",)], "tenant_id string")
+    for _ in range(2):
+        counts = erasure_job.erase(tables, "request-1", at, events=fifth, tenants=tenant)
+    events, facts, daily = tables.read("events"), tables.read("facts"), projection.read_daily(tables, False)
+    sizes = [
+        df.groupBy(F.col("tenant_id").alias("label")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "label", "n")
+        for name, df in (("events", events), ("facts", facts), ("global_daily", daily))
+    ]
+    lost = [
+        df.join(events, "event_id", "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit("without event").alias("what"), F.lit(name).alias("label"), "n")
+        for name, df in (("facts", facts), ("keys", tables.read("keys")))
+    ]
+    known = tables.read("subject_changes").where("tenant_id = 'tenant-1'").agg(F.count(F.lit(1)).alias("n"))
+    told = [("erased", name, counts[name]) for name in ("events", "facts", "global_daily")]
+    parts = [*sizes, *lost, known.select(F.lit("known subjects").alias("what"), F.lit("tenant-1").alias("label"), "n")]
+    return reduce(DataFrame.unionByName, [*parts, spark.createDataFrame(told, "what string, label string, n long")])
+
+
 # --- design-only aggregates -------------------------------------------------------------------
 
 _SCORED = """
