@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import pickle
 import random
 from collections import Counter, defaultdict
 
@@ -173,6 +174,38 @@ def test_filter_loses_no_window_within_its_budget():
             assert bool(windows.search([doc])[0]) == expect
 
 
+def test_items_of_every_length_within_their_budget():
+    """Also where 10-grams alone would filter nothing or too much: 25 to 29, 38 and 39 characters."""
+    rnd, lost = random.Random(8), 0
+    for n in range(decontaminate.LEAST, 64):
+        item = "".join(rnd.choice("abcdefgh") for _ in range(n))
+        windows = decontaminate.Windows.of([(7, item)])
+        of = windows.small or windows
+        assert (of.least > 0).all() and bool(windows.small) == (25 <= n <= 29 or n in (38, 39))
+        for edits in range(int(decontaminate.EDITS * n) + 2):
+            for even in (True, False):
+                x = list(item)
+                for i in range(edits):
+                    at = (i + 1) * n // (edits + 1) if even else rnd.randrange(1, n - 1)
+                    x[at : at + rnd.randint(0, 1)] = rnd.choice(["q", "", "z"])
+                doc = "".join(rnd.choice("klmno ") for _ in range(80)) + " " + "".join(x) + " " + "".join(rnd.choice("klmno ") for _ in range(50))
+                doc = decontaminate.plain(doc)
+                expect = any(edits_within(bytes_of(t), doc) <= e for t, e in zip(of.texts, of.e))
+                assert bool(windows.search([doc])[0]) == expect, (n, edits)
+                lost += expect and edits > 1
+    assert lost > 20
+
+
+def test_short_items_as_whole_words():
+    items = [(1, "Short item-here"), (2, "item"), (2, "item"), (3, "..."), (4, "here"), (5, "tem h"), (None, "x"), (6, "a test item of some twenty-eight")]
+    windows = decontaminate.Windows.of(items)
+    text = "A short, ITEM here; items!"
+    assert sorted(windows.search([text])[0], key=str) == [(1, 2, 18, 0), (2, 9, 13, 0), (2, 9, 13, 0), (4, 14, 18, 0)]
+    assert windows.search(["", None, "items heres", "this is a TEST item, of some twenty eight things"])[:3] == [[], [], []]
+    assert {h[0] for h in windows.search(["this is a TEST item, of some twenty eight things"])[0]} == {2, 6}
+    assert pickle.loads(pickle.dumps(windows)).search([text]) == windows.search([text])
+
+
 def test_excerpts_at_every_offset():
     rnd = random.Random(7)
     item = " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(80))

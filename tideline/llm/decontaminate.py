@@ -6,8 +6,10 @@ window itself), so whether an excerpt is found doesn't depend on where it begins
 text if some part of it aligns with at most e = EDITS * n edits; by the q-gram lemma such a part shares at least
 n - Q + 1 - Q * e q-grams with it, on diagonals at most 2 * e apart. So q-grams that a text shares with an item are put
 into bands of 2 * (2 * e + 1) diagonals that overlap by half, and windows that hold their bound of one band's are aligned.
+Items whose bound wouldn't be positive are looked for by SMALL_Q-grams instead, and then it is.
 
-Items of fewer than LEAST characters in that form are too short to judge and never occur; null items likewise. A null text
+Items of fewer than LEAST characters in that form have no edit budget: they occur where their words stand one after the other.
+Items without a letter or digit never occur; null items likewise. A null text
 counts as empty and has no hits. Texts are searched whole. Repeated rows get repeated results. Copies of an item
 give a hit each, and an item without id one with a null item_id. An empty benchmark or an empty table gives no hits.
 """
@@ -19,12 +21,14 @@ from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Q = 10
+SMALL_Q = 8
 WINDOW = 100
 SHORT = 60
 EDITS = 0.08
@@ -55,12 +59,12 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), "<u4")
 
 
-def grams(codes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the Q characters from each place on, by doubling."""
+def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
+    """A 64-bit hash of the q characters from each place on, by doubling."""
     with np.errstate(over="ignore"):
         size, have = 1, codes.astype("u8") + np.uint64(1)
         one, power = have, _BASE
-        for bit in f"{Q:b}"[1:]:
+        for bit in f"{q:b}"[1:]:
             have = have[:-size] * power + have[size:] if len(have) > size else have[:0]
             size, power = 2 * size, power * power
             if bit == "1":
@@ -69,9 +73,43 @@ def grams(codes: np.ndarray) -> np.ndarray:
         return have ^ (have >> np.uint64(29))
 
 
+def _bound(sizes: np.ndarray, q: int) -> np.ndarray:
+    """The q-grams that a place within the edit budget shares with a window, at least."""
+    return sizes - q + 1 - q * (EDITS * sizes).astype("i8")
+
+
+class Phrases:
+    """Items too short for windows, found as whole words by one automaton."""
+
+    def __init__(self, rows: list[tuple[int | None, str]]):
+        self.ids: dict[str, list[int | None]] = {}
+        for item, text in rows:
+            self.ids.setdefault(f" {text} ", []).append(item)
+        self._automaton = None
+
+    def __getstate__(self):
+        return {"ids": self.ids, "_automaton": None}
+
+    def search(self, text: str) -> list[tuple[int | None, int, int]]:
+        """(item, start, end) of the first place of each, in a text of the plain form."""
+        if not self.ids:
+            return []
+        if self._automaton is None:
+            self._automaton = ahocorasick.Automaton()
+            for phrase in self.ids:
+                self._automaton.add_word(phrase, phrase)
+            self._automaton.make_automaton()
+        first: dict[str, int] = {}
+        for last, phrase in self._automaton.iter(f" {text} "):
+            first.setdefault(phrase, last - len(phrase) + 1)
+        return [(item, at, at + len(phrase) - 2) for phrase, at in first.items() for item in self.ids[phrase]]
+
+
 @dataclass
 class Windows:
-    """ids: of the items, which may be null. codes: their characters. sizes, budgets, least: for the longer and the shorter windows of each item, their characters, edit budgets and q-gram bounds."""
+    """Items of an index by q-grams, with those that it can't hold in an index of its own (small) and as phrases.
+
+    ids: of the items, which may be null. codes: their characters. sizes, budgets, least: for the longer and the shorter windows of each item, their characters, edit budgets and q-gram bounds."""
 
     ids: list[int | None]
     codes: list[np.ndarray]
@@ -83,20 +121,33 @@ class Windows:
     item: np.ndarray
     offset: np.ndarray
     seen: np.ndarray
+    q: int = Q
+    small: Windows | None = None
+    phrases: Phrases | None = None
     masks: dict[tuple[int, int, int], dict[int, int]] = field(default_factory=dict)
 
     @classmethod
     def of(cls, rows: Iterable[tuple[int, str]]) -> Windows:
-        ids, texts = [], []
+        main, small, short = [], [], []
         for item, text in rows:
             codes = _codes(plain(text))
             if len(codes) >= LEAST:
-                ids.append(item)
-                texts.append(codes)
+                size = np.minimum(len(codes), [WINDOW, SHORT])
+                (main if (_bound(size, Q) > 0).all() else small).append((item, codes))
+            elif len(codes):
+                short.append((item, plain(text)))
+        out = cls._of(main, Q)
+        out.small = cls._of(small, SMALL_Q) if small else None
+        out.phrases = Phrases(short) if short else None
+        return out
+
+    @classmethod
+    def _of(cls, rows: list[tuple[int | None, np.ndarray]], q: int) -> Windows:
+        ids, texts = [item for item, _ in rows], [codes for _, codes in rows]
         lengths = np.array([len(t) for t in texts], "i8")
         sizes = np.stack([np.minimum(lengths, WINDOW), np.minimum(lengths, SHORT)])
         e = (EDITS * sizes).astype("i8")
-        each = [grams(t) for t in texts]
+        each = [grams(t, q) for t in texts]
         hashes = np.concatenate(each) if each else np.zeros(0, "u8")
         item = np.repeat(np.arange(len(texts), dtype="i4"), [len(g) for g in each]) if each else np.zeros(0, "i4")
         offset = np.concatenate([np.arange(len(g), dtype="i4") for g in each]) if each else np.zeros(0, "i4")
@@ -104,8 +155,8 @@ class Windows:
         keys, begin = np.unique(hashes[order], return_index=True)
         seen = np.zeros(1 << 22, bool)
         seen[(keys & np.uint64(len(seen) - 1)).astype("i8")] = True
-        least = np.maximum(1, sizes - Q + 1 - Q * e)
-        return cls(ids, texts, sizes, e, least, keys, np.append(begin, len(hashes)), item[order], offset[order], seen)
+        least = _bound(sizes, q)
+        return cls(ids, texts, sizes, e, least, keys, np.append(begin, len(hashes)), item[order], offset[order], seen, q)
 
     def starts(self, item: int, size: int) -> np.ndarray:
         """Where the item's windows of this size start: at every word, every half WINDOW, and so that the last one ends with the item."""
@@ -115,7 +166,7 @@ class Windows:
 
     def bands(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, list[int], int, int]]:
         """(item, size, edit budget, starts, first diagonal, end of diagonals) of the windows that reach their bound in a band."""
-        found = grams(codes)
+        found = grams(codes, self.q)
         places = np.flatnonzero(self.seen[(found & np.uint64(len(self.seen) - 1)).astype("i8")])
         if not len(places) or not len(self.keys):
             return
@@ -143,7 +194,7 @@ class Windows:
             upto = np.arange(len(keys)) + least - 1
             end = np.minimum(upto, len(keys) - 1)
             # so many grams from this one on lie in one window
-            ok = (upto < len(keys)) & (keys[end] == keys) & (offset[end] - offset <= size - Q)
+            ok = (upto < len(keys)) & (keys[end] == keys) & (offset[end] - offset <= size - self.q)
             if kind:
                 ok &= size < self.sizes[0][item]
             at = np.flatnonzero(ok)
@@ -154,7 +205,7 @@ class Windows:
                 i, b = key >> 40, (key & (1 << 40) - 1) - 1
                 w, step = int(self.sizes[kind][i]), int(2 * self.budgets[0][i] + 1)
                 starts = self.starts(i, w)
-                low = np.searchsorted(starts, offset[end[part]] - (w - Q))
+                low = np.searchsorted(starts, offset[end[part]] - (w - self.q))
                 high = np.searchsorted(starts, offset[part], "right")
                 # starts in any of the ranges low to high
                 open_ = np.zeros(len(starts) + 1, "i8")
@@ -256,6 +307,14 @@ class Windows:
     def search(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """Per text, (item, start, end, edits) in characters of the text, one for each item that occurs."""
         plains = [plain(t) if t else "" for t in texts]
+        out = self._search(texts, plains)
+        if self.small:
+            out = [a + b for a, b in zip(out, self.small._search(texts, plains))]
+        if self.phrases:
+            out = [a + [(item, *_source(t, start, end), 0) for item, start, end in self.phrases.search(p)] for a, t, p in zip(out, texts, plains)]
+        return out
+
+    def _search(self, texts: list[str], plains: list[str]) -> list[list[tuple[int, int, int, int]]]:
         starts = np.cumsum([0, *[len(p) + 1 for p in plains]])
         codes = _codes("\0".join([*plains, ""]))
         found: list[dict[int, list[int]]] = [{} for _ in texts]
