@@ -342,3 +342,11 @@ def test_quality_odd_rows(spark):
     assert {r.s for r in docs.select(quality_fm.score(spark, F.col("text"), none).alias("s")).collect()} == {0.5}
     assert quality_fm.fit(empty(spark), labels).bias == 0.0
     assert len(LONG) > 500_000
+
+
+def test_checked_encoding_equals_encoding_then_decoding(spark):
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    both = odd(spark).select(bpe.encode(F.col("text"), path, pattern).alias("ids"), bpe.encode_checked(F.col("text"), path, pattern).alias("c"))
+    rows = both.collect()
+    assert rows and all(r.c.ids == r.ids and r.c.decodes for r in rows)
+    assert empty(spark).select(bpe.encode_checked(F.col("text"), path, pattern)).collect() == []

@@ -241,6 +241,26 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     return ids(text)
 
 
+def encode_checked(text: Column, path: str, pattern: str) -> Column:
+    """struct<ids, decodes>: encode() and whether decoding gives the text again, both by one worker with one vocabulary."""
+    kind = pa.struct([("ids", pa.binary()), ("decodes", pa.bool_())])
+
+    @F.arrow_udf("struct<ids: binary, decodes: boolean>")
+    def checked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = loaded(path, pattern)
+        try:
+            for batch in batches:
+                ids, same = [], []
+                for t, packed in zip(batch, bpe.encode_stream(t.as_py() or "" for t in batch)):
+                    ids.append(packed)
+                    same.append(bpe.decode(packed) == (t.as_py() or "").encode())
+                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(same, pa.bool_())], fields=list(kind))
+        finally:
+            bpe.forget()
+
+    return checked(text)
+
+
 def decode(ids: Column, path: str, pattern: str) -> Column:
     """The bytes that packed ids stand for; null ids give no bytes."""
 
