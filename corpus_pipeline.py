@@ -44,9 +44,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and whether they decode to the text again."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = docs.select("doc_id", "text", bpe.encode(F.col("text"), path, pattern).alias("ids"))
-    same = bpe.decode(F.col("ids"), path, pattern) == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("decodes"))
+    known = docs.select("doc_id", bpe.encode_checked(F.col("text"), path, pattern).alias("_coded")).select("doc_id", "_coded.*")
+    return known.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decodes")
 
 
 STAGES = [
