@@ -431,3 +431,10 @@ def test_run_ledger(spark):
     failed = projections.run_row(spark, run_id="b", projection_name="x", projection_version=1, status="failed", started_at=T0, completed_at=T0, last_error="e" * 2000)
     assert len(one(failed).last_error) == 1000
     assert sorted(r.due for r in projections.due(opened, 1, F.lit(T0).cast("timestamp")).collect()) == [True, True]
+
+
+def test_rows_of_one_time_leave_one_state_of_a_run(spark):
+    row = {"run_id": "r", "projection_name": "p", "projection_version": 1, "status": "running", "started_at": T0}
+    opened, going = projections.run_row(spark, **row), projections.run_row(spark, **row, rows_written=7)
+    for ledger in (opened.union(going), going.union(opened)):
+        assert one(projections.latest_runs(ledger.coalesce(1)))["rows_written"] == 7

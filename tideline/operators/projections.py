@@ -70,8 +70,10 @@ _CLOSED = ("completed", "failed", "skipped_locked")
 
 
 def latest_runs(ledger: DataFrame) -> DataFrame:
-    """Current state of every run of the append-only ledger; a closed state beats a running one."""
-    rank = F.struct(F.col("status") != "running", F.coalesce("completed_at", "started_at"))
+    """Current state of every run of the append-only ledger; a closed state beats a running one, and of rows of one time the one
+    that has written more."""
+    done = [F.col(c) for c in ("rows_written", "rows_read", "affected_days") if c in ledger.columns]
+    rank = F.struct(F.col("status") != "running", F.coalesce("completed_at", "started_at"), *done, F.col("status"))
     return (
         ledger.groupBy("run_id")
         .agg(F.max_by(F.struct(*ledger.columns), rank).alias("r"))
