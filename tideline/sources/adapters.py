@@ -172,11 +172,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a stored table that make one task of costly per-row work; a hundred thousand events are two million bytes.
+SPREAD_BYTES = 1 << 20
+
+
 def read_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table ahead of costly per-row work. A scan of fewer splits than there are cores is small, and is dealt to all of them;
-    larger tables are read as they lie, without a shuffle."""
-    rows, cores = read(spark, sf_dir, name), spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """A table ahead of costly per-row work, dealt to all cores and, where it is large, to tasks of about SPREAD_BYTES.
+
+    A file is cut by bytes but read by row groups, so of its splits most may be empty and one hold all rows: the number of splits
+    tells nothing. Only these narrow rows are shuffled.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    stored = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-stored // SPREAD_BYTES))
+    return read(spark, sf_dir, name).repartition(tasks)
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
