@@ -1,5 +1,7 @@
 """How the costly queries deal and read their tables."""
 
+from tideline.operators import lookups
+from tideline.plans.catalog import load_all
 from tideline.sources import adapters
 
 SF = "/root/testdata/sf0.001"
@@ -16,3 +18,11 @@ def test_one_row_group_is_dealt_to_tasks_of_few_rows(spark, tmp_path, monkeypatc
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sum(sizes) == rows.count() and max(sizes) <= rows.count() / 8
+
+
+def test_lines_of_several_categories_are_read_in_one_pass(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["c"])], "n int, category_ids array<string>")
+    found = lookups.by_category(rows, ["a", "b"]).select("n", "category").collect()
+    assert sorted(map(tuple, found)) == [(1, "a"), (1, "b")]
+    plan = load_all()["category_lines"].run(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode(lines") == 1

@@ -95,28 +95,33 @@ def _members(value: Column, names) -> Column:
     return F.try_variant_get(value, "$", f"struct<{fields}>")
 
 
-def item_rows(events: DataFrame) -> DataFrame:
-    """One row per line, with the line's members over the event's and coerced to column types."""
+def item_rows(events: DataFrame, members: list[str] | None = None) -> DataFrame:
+    """One row per line, with the line's members over the event's and coerced to column types.
+
+    members: those to read where only some are wanted; the line's completeness is then left out, as it takes all of them.
+    """
     inherited = [c for c in _EVENT if c in events.columns]
+    names = _MEMBERS if members is None else [n for n in _MEMBERS if n in members]
     listed = with_lines(events).select(
-        *inherited, "lines", _members(F.col("properties"), _MEMBERS).alias("_header")
+        *inherited, "lines", _members(F.col("properties"), names).alias("_header")
     )
     exploded = listed.select(*inherited, "_header", F.posexplode("lines").alias("line_index", "line"))
-    read = once(exploded, {"_line": _members(F.col("line"), _MEMBERS)})
+    read = once(exploded, {"_line": _members(F.col("line"), names)})
     # A null member of the line is a VARIANT null, not NULL, so it hides the header's.
-    merged = once(read, {n: F.coalesce(F.col(f"_line.{n}"), F.col(f"_header.{n}")) for n in _MEMBERS})
+    merged = once(read, {n: F.coalesce(F.col(f"_line.{n}"), F.col(f"_header.{n}")) for n in names})
     value = F.col
-    typed = merged.select(
-        *inherited,
-        "line_index",
-        *[pl.as_text(value(n)).alias(n) for n in _TEXT],
-        pl.as_text_list(value("category_ids")).alias("category_ids"),
-        *[pl.as_int(value(n)).alias(n) for n in _INT],
-        pl.as_long(value("visible_time_ms")).alias("visible_time_ms"),
-        pl.as_time(value("rendered_at")).alias("rendered_at"),
-        *[pl.as_number(value(n)).cast(t).alias(n) for n, t in _DECIMAL.items()],
-        pl.object_or_empty(value("metadata")).alias("metadata"),
-    )
+    coerced = {
+        **{n: pl.as_text(value(n)) for n in _TEXT},
+        "category_ids": pl.as_text_list(value("category_ids")),
+        **{n: pl.as_int(value(n)) for n in _INT},
+        "visible_time_ms": pl.as_long(value("visible_time_ms")),
+        "rendered_at": pl.as_time(value("rendered_at")),
+        **{n: pl.as_number(value(n)).cast(t) for n, t in _DECIMAL.items()},
+        "metadata": pl.object_or_empty(value("metadata")),
+    }
+    typed = merged.select(*inherited, "line_index", *[coerced[n].alias(n) for n in names])
+    if members is not None:
+        return typed
     marked = typed.withColumn("missing_fields", missing_fields(F.col("event_name"), F.col))
     incomplete = F.size("missing_fields") > 0
     flags = F.create_map(

@@ -46,3 +46,9 @@ def ranking_run(items: DataFrame, ranking_run_id: str) -> DataFrame:
 
 def in_category(items: DataFrame, category: str) -> DataFrame:
     return items.where(F.array_contains("category_ids", category))
+
+
+def by_category(items: DataFrame, categories: list[str]) -> DataFrame:
+    """Lines once for each of the categories they are in, as `category`, in one pass."""
+    wanted = F.array(*[F.lit(c) for c in categories])
+    return items.withColumn("category", F.explode(F.array_intersect("category_ids", wanted)))

@@ -101,8 +101,8 @@ def order_headers(spark, sf_dir):
     return rows.select("event_id", "event_name", "order_id", "currency", "gross_amount", "net_amount", "cart_id")
 
 
-def _items(spark, sf_dir):
-    return items.item_rows(adapters.order_events(spark, sf_dir))
+def _items(spark, sf_dir, members=None):
+    return items.item_rows(adapters.order_events(spark, sf_dir), members)
 
 
 @query(
@@ -115,14 +115,9 @@ where list_contains(string_split(category_ids, ','), category) group by tenant_i
 )
 def category_lines(spark, sf_dir):
     """Lines by category containment."""
-    rows = _items(spark, sf_dir)
-    parts = [
-        lookups.in_category(rows, c).groupBy("tenant_id").agg(
-            F.count(F.lit(1)).alias("line_count"), F.sum(F.col("gross_amount").cast("double")).alias("gross")
-        ).withColumn("category", F.lit(c))
-        for c in ("flag-A", "flag-R", "3")
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows = lookups.by_category(_items(spark, sf_dir, ["category_ids", "gross_amount"]), ["flag-A", "flag-R", "3"])
+    # Amounts are summed as decimals, so their order doesn't matter.
+    return rows.groupBy("tenant_id", "category").agg(F.count(F.lit(1)).alias("line_count"), F.sum("gross_amount").cast("double").alias("gross"))
 
 
 @query("H9", f"select event_id, item_id, order_line_id from {_ITEMS} where tenant_id = 'tenant-1' and site_id = 's6' and item_id = '7'")
