@@ -1,6 +1,6 @@
 """How the costly queries deal and read their tables."""
 
-from tideline.operators import lookups
+from tideline.operators import designs, lookups
 from tideline.plans.catalog import load_all
 from tideline.sources import adapters
 
@@ -26,3 +26,12 @@ def test_lines_of_several_categories_are_read_in_one_pass(spark):
     assert sorted(map(tuple, found)) == [(1, "a"), (1, "b")]
     plan = load_all()["category_lines"].run(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("posexplode(lines") == 1
+
+
+def test_levels_are_rolled_up_without_multiplying_rows(spark):
+    columns = [*designs.LEVELS[0][1], "item_id"]
+    rows = [tuple(f"{c}{i % m}" for c, m in zip(columns, (1, 2, 2, 3, 2, 2, 1, 4))) + (i, 1, None) for i in range(48)]
+    ddl = ", ".join(f"{c} string" for c in columns) + ", score long, event_count long, last_event_time timestamp"
+    found = designs.item_scores_by_level(spark.createDataFrame(rows, ddl))
+    assert {r["level_rank"]: r["s"] for r in found.groupBy("level_rank").agg({"score": "sum"}).withColumnRenamed("sum(score)", "s").collect()} == dict.fromkeys(range(6), sum(range(48)))
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()

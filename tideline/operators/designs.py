@@ -4,10 +4,13 @@ over periods and two reconciliations."""
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.session import cut
+
 # Example weights of the design.
 EVENT_WEIGHTS = {"item_viewed": 1, "cart_item_added": 4, "purchase_completed": 10}
 # Context columns by level, from the whole context down to the site.
@@ -36,27 +39,34 @@ def item_scores(items: DataFrame, context: list[str], start: datetime, end: date
 
 
 def item_scores_by_level(scores: DataFrame, levels=LEVELS) -> DataFrame:
-    """Scores of exact contexts rolled up to every fallback level, in one pass of grouping sets.
+    """Scores of exact contexts rolled up to every fallback level, each from the coarsest level before it that has its columns.
 
-    `level_rank` 0 is the exact context. Columns outside a level are NULL.
+    `level_rank` 0 is the exact context. Columns outside a level are NULL. Rows are never multiplied by the levels, so a task
+    holds the groups of one level only.
     """
     columns = list(levels[0][1])
-    sets = [[F.col(c) for c in (*names, "item_id")] for _, names in levels]
-    grouped = scores.groupingSets(sets, *[F.col(c) for c in (*columns, "item_id")]).agg(
-        F.sum("score").alias("score"),
-        F.sum("event_count").alias("event_count"),
-        F.max("last_event_time").alias("last_event_time"),
-        F.grouping_id().alias("_gid"),
-    )
-    width = len(columns) + 1
-    rank = None
-    for position, (_, names) in enumerate(levels):
-        kept = {*names, "item_id"}
-        gid = sum(1 << (width - 1 - i) for i, c in enumerate([*columns, "item_id"]) if c not in kept)
-        branch = F.col("_gid") == gid
-        rank = F.when(branch, position) if rank is None else rank.when(branch, position)
-    names = F.array(*[F.lit(n) for n, _ in levels])
-    return grouped.withColumn("level_rank", rank).withColumn("level", names[F.col("level_rank")]).drop("_gid")
+    built: list[DataFrame] = []
+    for _, names in levels:
+        fitting = [p for p, (_, before) in enumerate(levels[: len(built)]) if set(names) <= set(before)]
+        finer = built[min(fitting, key=lambda p: len(levels[p][1]))] if fitting else scores
+        built.append(
+            cut(
+                finer.groupBy(*names, "item_id").agg(
+                    F.sum("score").alias("score"),
+                    F.sum("event_count").alias("event_count"),
+                    F.max("last_event_time").alias("last_event_time"),
+                )
+            )
+        )
+    types = scores.schema
+    parts = [
+        df.select(
+            *[F.col(c) if c in names else F.lit(None).cast(types[c].dataType).alias(c) for c in columns],
+            "item_id", "score", "event_count", "last_event_time", F.lit(rank).alias("level_rank"), F.lit(level).alias("level"),
+        )
+        for rank, ((level, names), df) in enumerate(zip(levels, built))
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def top_items_with_fallback(requests: DataFrame, leveled: DataFrame, limit: int, levels=LEVELS) -> DataFrame:
