@@ -35,3 +35,12 @@ def test_levels_are_rolled_up_without_multiplying_rows(spark):
     found = designs.item_scores_by_level(spark.createDataFrame(rows, ddl))
     assert {r["level_rank"]: r["s"] for r in found.groupBy("level_rank").agg({"score": "sum"}).withColumnRenamed("sum(score)", "s").collect()} == dict.fromkeys(range(6), sum(range(48)))
     assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _plan(spark, name):
+    return load_all()[name].run(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_payloads_are_no_join_condition(spark):
+    joins = [line for line in _plan(spark, "item_lines").splitlines() if "Join" in line]
+    assert joins and not [line for line in joins if "variant" in line]

@@ -34,19 +34,28 @@ _EVENT = (
 )
 
 
-def lines(properties: Column) -> Column:
-    """Line objects of a payload: `items` objects, else `item`, else the payload itself when it
-    names an item. An empty object stands for a payload without lines of its own."""
-    items = F.filter(
+def lines(events: DataFrame, applies: Column) -> DataFrame:
+    """Adds `lines`, the line objects of a payload: `items` objects, else `item`, else the payload itself when it
+    names an item. An empty object stands for a payload without lines of its own.
+
+    Every step is taken once: a filter that the optimizer infers from exploding the lines names them again, and behind a
+    join it would be the join's condition.
+    """
+    properties = F.col("properties")
+    members = F.filter(
         F.try_variant_get(properties, "$.items", "array<variant>"), lambda x: pl.is_object(x)
     )
-    item = pl.member(properties, "$.item")
+    read = once(
+        events,
+        {"_items": F.when(applies, members), "_item": F.when(applies, pl.member(properties, "$.item"))},
+    )
     own = pl.as_text(pl.member(properties, "$.item_id")) != ""
-    return (
-        F.when(F.coalesce(F.size(items), F.lit(0)) > 0, items)
-        .when(pl.is_object(item), F.array(item))
+    found = (
+        F.when(F.coalesce(F.size("_items"), F.lit(0)) > 0, F.col("_items"))
+        .when(pl.is_object(F.col("_item")), F.array("_item"))
         .when(own, F.array(F.parse_json(F.lit("{}"))))
     )
+    return once(read, {"lines": F.when(applies, found)}).drop("_items", "_item")
 
 
 def missing_fields(event_name: Column, row) -> Column:
@@ -69,8 +78,7 @@ def missing_fields(event_name: Column, row) -> Column:
 
 def with_lines(events: DataFrame) -> DataFrame:
     """Adds `lines`, NULL for events that carry no items."""
-    applies = F.col("event_name").isin(*vocab.ITEM_EVENTS)
-    return events.withColumn("lines", F.when(applies, lines(F.col("properties"))))
+    return lines(events, F.col("event_name").isin(*vocab.ITEM_EVENTS))
 
 
 def key_fields(line_array: Column, properties: Column) -> Column:
