@@ -44,3 +44,9 @@ def _plan(spark, name):
 def test_payloads_are_no_join_condition(spark):
     joins = [line for line in _plan(spark, "item_lines").splitlines() if "Join" in line]
     assert joins and not [line for line in joins if "variant" in line]
+
+
+def test_lookups_read_only_the_members_they_need(spark):
+    for name in ("order_line_lookup", "item_history", "surface_lines"):
+        plan = _plan(spark, name)
+        assert "order_line_id" in plan and "rendered_at" not in plan

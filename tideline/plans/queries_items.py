@@ -123,7 +123,7 @@ def category_lines(spark, sf_dir):
 @query("H9", f"select event_id, item_id, order_line_id from {_ITEMS} where tenant_id = 'tenant-1' and site_id = 's6' and item_id = '7'")
 def item_history(spark, sf_dir):
     """An item's lines over time on one site."""
-    return lookups.item_history(_items(spark, sf_dir), "tenant-1", "s6", "7").select("event_id", "item_id", "order_line_id")
+    return lookups.item_history(_items(spark, sf_dir, ["item_id", "order_line_id"]), "tenant-1", "s6", "7").select("event_id", "item_id", "order_line_id")
 
 
 @query(
@@ -132,7 +132,7 @@ def item_history(spark, sf_dir):
 )
 def surface_lines(spark, sf_dir):
     """A surface's lines over time on one site."""
-    rows = lookups.surface_items(_items(spark, sf_dir), "tenant-2", "s7", "1-URGENT")
+    rows = lookups.surface_items(_items(spark, sf_dir, ["item_id", "order_line_id", "surface"]), "tenant-2", "s7", "1-URGENT")
     return rows.select("event_id", "item_id", "order_line_id")
 
 
@@ -142,7 +142,7 @@ def surface_lines(spark, sf_dir):
 )
 def order_line_lookup(spark, sf_dir):
     """The lines of one order."""
-    rows = _items(spark, sf_dir).where(F.col("order_id") == "7")
+    rows = _items(spark, sf_dir, ["item_id", "order_id", "order_line_id"]).where(F.col("order_id") == "7")
     return rows.select("event_id", "item_id", "order_line_id")
 
 
