@@ -50,3 +50,9 @@ def test_lookups_read_only_the_members_they_need(spark):
     for name in ("order_line_lookup", "item_history", "surface_lines"):
         plan = _plan(spark, name)
         assert "order_line_id" in plan and "rendered_at" not in plan
+
+
+def test_events_are_dealt_before_they_are_checked(spark):
+    for name in ("eligible_subjects", "subject_reconciliation", "normalization_counts"):
+        below = _plan(spark, name).split("Repartition")[1:]
+        assert below and not [part for part in below if "Filter" in part.split("Relation")[0]]

@@ -93,13 +93,6 @@ def subject_rows(events: DataFrame) -> DataFrame:
     op_kind, op_id, op_ok = _operation(F.col("_operation"))
     life = _lifecycle(F.col("event_name"), F.col("_lifecycle"))
     key = pl.as_pure_text(F.col("_context.context_key"))
-    listed = events.withColumn(
-        "_entries",
-        F.when(pl.is_array(subjects), _entries(subjects)).when(
-            subjects.isNotNull(), F.array(F.lit(None).cast(_SUBJECT))
-        ),
-    ).withColumn("_keys", F.transform("_entries", _key))
-    entries = F.when(pl.is_array(subjects), _first_of_each()).otherwise(F.col("_entries"))
     kept = [
         c
         for c in (
@@ -108,8 +101,9 @@ def subject_rows(events: DataFrame) -> DataFrame:
         )
         if c in events.columns
     ]
-    exploded = listed.select(
+    read = events.select(
         *kept,
+        "_subjects",
         op_kind.alias("operation_type"),
         op_id.alias("operation_id"),
         op_ok.alias("_op_ok"),
@@ -118,8 +112,15 @@ def subject_rows(events: DataFrame) -> DataFrame:
         pl.as_positive_int(F.col("_context.context_version")).alias("context_version"),
         pl.as_pure_text(F.col("_context.claimed_context_family")).alias("claimed_context_family"),
         local_date(F.col("event_time"), F.col("zone")).alias("_date"),
-        F.explode(entries).alias("s"),
     )
+    entries = F.when(pl.is_array(subjects), _entries(subjects)).when(
+        subjects.isNotNull(), F.array(F.lit(None).cast(_SUBJECT))
+    )
+    # Taken once: a filter that the optimizer infers from exploding the entries names them again, as a join's condition even.
+    keyed = once(once(read, {"_entries": entries}), {"_keys": F.transform("_entries", _key)})
+    first = F.when(pl.is_array(subjects), _first_of_each()).otherwise(F.col("_entries"))
+    listed = once(keyed, {"_entries": first}).drop("_keys", "_subjects")
+    exploded = listed.select("*", F.explode("_entries").alias("s")).drop("_entries")
     s = F.col("s")
     ident, relation = s["external_subject_id"], s["relation"]
     invalid = F.lit("invalid_subject")
