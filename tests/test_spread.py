@@ -56,3 +56,7 @@ def test_events_are_dealt_before_they_are_checked(spark):
     for name in ("eligible_subjects", "subject_reconciliation", "normalization_counts"):
         below = _plan(spark, name).split("Repartition")[1:]
         assert below and not [part for part in below if "Filter" in part.split("Relation")[0]]
+
+
+def test_stored_daily_rows_are_made_once(spark):
+    assert "Repartition" not in _plan(spark, "daily_upsert")

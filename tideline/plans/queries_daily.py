@@ -173,7 +173,7 @@ from global_daily
 )
 def daily_upsert(spark, sf_dir):
     """Prepared absolute aggregates over the stored ones."""
-    stored = projections.daily(base.facts(spark, sf_dir))
+    stored = cut(projections.daily(base.facts(spark, sf_dir)))
     prepared = stored.where("local_date >= date '2024-01-20'").withColumn(
         "association_count", F.col("association_count") + 100
     )
