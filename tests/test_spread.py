@@ -60,3 +60,7 @@ def test_events_are_dealt_before_they_are_checked(spark):
 
 def test_stored_daily_rows_are_made_once(spark):
     assert "Repartition" not in _plan(spark, "daily_upsert")
+
+
+def test_levels_are_ranked_once(spark):
+    assert "row_number" not in _plan(spark, "top_items_with_fallback")

@@ -72,12 +72,13 @@ def item_scores_by_level(scores: DataFrame, levels=LEVELS) -> DataFrame:
 def top_items_with_fallback(requests: DataFrame, leveled: DataFrame, limit: int, levels=LEVELS) -> DataFrame:
     """Per request (the exact context columns) the best items of the first level that has any.
 
-    Items are ranked once per level and context, so a request meets at most `limit` rows per level.
+    Items are ranked once per level and context, so a request meets at most `limit` rows per level. The ranks are cut: every
+    level's join and the choice of the level read them.
     """
     columns = list(levels[0][1])
     order = [F.col("score").desc(), F.col("last_event_time").desc(), F.col("item_id").asc()]
     ranks = Window.partitionBy("level_rank", *columns).orderBy(*order)
-    best = leveled.withColumn("position", F.row_number().over(ranks)).where(F.col("position") <= limit)
+    best = cut(leveled.withColumn("position", F.row_number().over(ranks)).where(F.col("position") <= limit))
     values = ["item_id", "score", "event_count", "last_event_time", "position", "level_rank", "level"]
     found = None
     for position, (_, names) in enumerate(levels):
