@@ -1,6 +1,7 @@
 """How the costly queries deal and read their tables."""
 
 from tideline.operators import designs, lookups
+from tideline.plans import base
 from tideline.plans.catalog import load_all
 from tideline.sources import adapters
 
@@ -64,3 +65,10 @@ def test_stored_daily_rows_are_made_once(spark):
 
 def test_levels_are_ranked_once(spark):
     assert "row_number" not in _plan(spark, "top_items_with_fallback")
+
+
+def test_audit_makes_its_facts_once(spark, monkeypatch):
+    made, facts = [], base.facts
+    monkeypatch.setattr(base, "facts", lambda *given: made.append(given) or facts(*given))
+    load_all()["constraint_audit"].run(spark, SF)
+    assert len(made) == 1

@@ -121,9 +121,9 @@ def lifecycle_order(spark, sf_dir):
     return rows.select("event_id", (F.col("normalization_status") == "lifecycle_ignored").alias("ignored"))
 
 
-def _dimension(spark, sf_dir):
+def _dimension(spark, sf_dir, facts=None):
     """Identities from events, ordered changes from orders, and a valid snapshot, folded at once."""
-    seen = dimension.changes_from_events(base.facts(spark, sf_dir))
+    seen = dimension.changes_from_events(base.facts(spark, sf_dir) if facts is None else facts)
     changes = dimension.changes_from_events(adapters.lifecycle_rows(spark, sf_dir))
     valid = dimensions.check_snapshot(adapters.snapshot(spark, sf_dir)).where("row_valid")
     return dimension.fold(seen.unionByName(changes).unionByName(dimension.changes_from_snapshot(valid)))
