@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # A repeated JSON key keeps its last value instead of failing the row.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Payloads are read whole, and no two need have the same members: shredding them costs on every cut, and again on every read.
+    "spark.sql.variant.inferShreddingSchema": "false",
     # Inferring constraints over projections with hundreds of payload expressions takes the optimizer
     # minutes; filters that matter are written out.
     "spark.sql.constraintPropagation.enabled": "false",
