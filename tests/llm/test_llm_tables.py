@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import pickle
 import random
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -225,6 +226,41 @@ def test_excerpts_at_every_offset():
             assert windows.search(["x" * before, lead + item[:64]])[1], (before, lead)
 
 
+def test_texts_that_share_only_a_phrase_are_told_apart_at_once(monkeypatch):
+    rnd = random.Random(9)
+    words = lambda letters, n: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    item, aligned, plain_way = words("abcdefghij", 80), [], decontaminate.Windows.occurs
+    windows = decontaminate.Windows.of([(7, item)])
+    monkeypatch.setattr(decontaminate.Windows, "occurs", lambda *a: aligned.append(a) or plain_way(*a))
+    begins = [i + 1 for i, c in enumerate(item[:-60]) if c == " "]
+    assert windows.search([f"{words('klmnop', 20)} {item[at : at + 30]} {words('klmnop', 20)}" for at in begins]) == [[] for _ in begins]
+    assert len(begins) > 60 and len(aligned) < 10
+
+
+def test_characters_of_many_texts_are_those_of_each():
+    every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    texts = ["", None, "\0", "a\0", "\0_a", " A--b ", "x" * 3, "...", "ΑΣ", *(every[i : i + 999] for i in range(0, len(every), 999)), "_z_"]
+    codes, starts = decontaminate.plains(texts)
+    assert [bytes_of(codes[a : b - 1]) for a, b in zip(starts, starts[1:])] == [decontaminate.plain(t or "") for t in texts]
+    assert starts[-1] == len(codes) and not codes[starts[1:] - 1].any()
+
+
+def test_parts_within_their_budget_by_the_full_table():
+    rnd, some = random.Random(10), []
+    for n in (1, 2, 40, 63, 64):
+        for edits in range(10):
+            part = [rnd.choice("abc") for _ in range(n)]
+            x = list(part)
+            for _ in range(edits):
+                at = rnd.randrange(len(x) + 1)
+                x[at : at + rnd.randint(0, 1)] = rnd.choice(["q", "", "z"])
+            some.append(("".join(part), "".join(rnd.choices("abc", k=9) + x + rnd.choices("abc", k=rnd.randint(0, 9))), rnd.randint(0, 8)))
+    padded = lambda texts, n, fill: np.array([[*map(ord, t), *[fill] * (n - len(t))] for t in texts], "u4")
+    parts, regions = padded([s[0] for s in some], 64, 0), padded([s[1] for s in some], 99, 0xFFFFFFFF)
+    got = decontaminate.within(parts, np.array([len(s[0]) for s in some]), np.array([s[2] for s in some]), regions).tolist()
+    assert got == [edits_within(p, region) <= e for p, region, e in some] and len(set(got)) == 2
+
+
 def bytes_of(codes):
     return "".join(map(chr, codes.tolist()))
 

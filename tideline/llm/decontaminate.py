@@ -5,7 +5,9 @@ for by windows of WINDOW characters and of SHORT ones that start at every word (
 window itself), so whether an excerpt is found doesn't depend on where it begins. A window of n characters occurs in a
 text if some part of it aligns with at most e = EDITS * n edits; by the q-gram lemma such a part shares at least
 n - Q + 1 - Q * e q-grams with it, on diagonals at most 2 * e apart. So q-grams that a text shares with an item are put
-into bands of 2 * (2 * e + 1) diagonals that overlap by half, and windows that hold their bound of one band's are aligned.
+into bands of 2 * (2 * e + 1) diagonals that overlap by half, and windows that hold their bound of one band's are candidates.
+Of neighbouring windows up to 64 common characters have to occur within the budget first, which all candidates of a chunk of
+texts are tested for at once; what passes is aligned.
 Items whose bound wouldn't be positive are looked for by SMALL_Q-grams instead, and then it is.
 
 Items of fewer than LEAST characters in that form have no edit budget: they occur where their words stand one after the other.
@@ -17,9 +19,12 @@ give a hit each, and an item without id one with a null item_id. An empty benchm
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cache, cached_property
+from itertools import batched
 
 import ahocorasick
 import numpy as np
@@ -43,6 +48,9 @@ CHUNK = 1 << 20
 #: Windows whose letters a worker remembers before it starts anew.
 MEMO = 2_000
 
+#: Candidates that are tested at once, and bands that they are taken from.
+BLOCK = 4_096
+
 HITS = "array<struct<item_id: bigint, start: int, end: int, edits: int>>"
 _HIT = pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())])
 
@@ -59,6 +67,46 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), "<u4")
 
 
+@cache
+def _letters() -> np.ndarray:
+    """Whether a character is a letter or digit, by its code."""
+    return np.fromiter((chr(c).isalnum() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def plains(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of plain(t) of each text with a zero after each; where each text begins, and last where all end."""
+    lower = [t.lower() if t else "" for t in texts]
+    codes, ends = _codes("\0".join([*lower, ""])), np.cumsum([len(t) + 1 for t in lower], dtype="i8") - 1
+    letter = _letters()[codes]
+    shown = letter.copy()
+    # the first other character after a word stands for all of them, but not at a text's end
+    shown[1:] |= letter[:-1]
+    shown[ends] = True
+    codes = np.where(letter, codes, np.uint32(32))
+    codes[ends] = 0
+    codes = codes[shown]
+    codes = codes[np.append((codes[:-1] != 32) | (codes[1:] != 0), True)[: len(codes)]]
+    return codes, np.append(0, np.flatnonzero(codes == 0) + 1)
+
+
+def within(parts: np.ndarray, sizes: np.ndarray, budgets: np.ndarray, regions: np.ndarray) -> np.ndarray:
+    """Whether each part, of up to 64 characters in a row, occurs in its region within its budget: as Windows.occurs, a column of all at once."""
+    shift, one = (sizes - 1).astype("u8"), np.uint64(1)
+    more, less = np.full(len(parts), ~np.uint64(0)), np.zeros(len(parts), "u8")
+    score = sizes.astype("i8")
+    best = score.copy()
+    for column in regions.T:
+        same = np.packbits(parts == column[:, None], axis=1, bitorder="little").view("<u8").ravel()
+        down = same | less
+        across = (((same & more) + more) ^ more) | same
+        up, low = less | ~(across | more), more & across
+        score += (up >> shift & one).astype("i8") - (low >> shift & one).astype("i8")
+        np.minimum(best, score, out=best)
+        up, low = up << one, low << one
+        more, less = low | ~(down | up), up & down
+    return best <= budgets
+
+
 def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
     """A 64-bit hash of the q characters from each place on, by doubling."""
     with np.errstate(over="ignore"):
@@ -164,6 +212,19 @@ class Windows:
         words = np.append(0, np.flatnonzero(codes == 32) + 1)
         return np.unique(np.concatenate([words[words < last], np.arange(0, max(1, last), WINDOW // 2), [last]]))
 
+    @cached_property
+    def together(self) -> tuple[np.ndarray, np.ndarray]:
+        """The characters of all items one after the other, and where each begins."""
+        return np.concatenate(self.codes), np.cumsum([0, *map(len, self.codes)])
+
+    @cached_property
+    def places(self) -> list[np.ndarray]:
+        """item << 32 | start of all longer and all shorter windows, in order."""
+        return [
+            np.concatenate([i << 32 | self.starts(i, int(size)).astype("i8") for i, size in enumerate(sizes)]) if len(sizes) else np.zeros(0, "i8")
+            for sizes in self.sizes
+        ]
+
     def bands(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, list[int], int, int]]:
         """(item, size, edit budget, starts, first diagonal, end of diagonals) of the windows that reach their bound in a band."""
         found = grams(codes, self.q)
@@ -200,20 +261,20 @@ class Windows:
             at = np.flatnonzero(ok)
             if not len(at):
                 continue
-            for part in np.split(at, np.flatnonzero(np.diff(keys[at])) + 1):
-                key = int(keys[part[0]])
-                i, b = key >> 40, (key & (1 << 40) - 1) - 1
-                w, step = int(self.sizes[kind][i]), int(2 * self.budgets[0][i] + 1)
-                starts = self.starts(i, w)
-                low = np.searchsorted(starts, offset[end[part]] - (w - self.q))
-                high = np.searchsorted(starts, offset[part], "right")
-                # starts in any of the ranges low to high
-                open_ = np.zeros(len(starts) + 1, "i8")
-                np.add.at(open_, low[low < high], 1)
-                np.add.at(open_, high[low < high], -1)
-                chosen = starts[np.cumsum(open_[:-1]) > 0].tolist()
-                if chosen:
-                    yield i, w, int(self.budgets[kind][i]), chosen, b * step - shift, b * step - shift + 2 * step
+            i, keyed = item[at], self.places[kind]
+            low = np.searchsorted(keyed, i << 32 | np.maximum(0, offset[end[at]] - (size[at] - self.q)))
+            high = np.searchsorted(keyed, i << 32 | offset[at], "right")
+            # starts in any of the ranges low to high; both rise within a band
+            fresh = np.append(True, np.diff(keys[at]) != 0)
+            low = np.maximum(low, np.where(fresh, 0, np.append(0, high[:-1])))
+            n = np.maximum(0, high - low)
+            chosen = keyed[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] & (1 << 32) - 1
+            upto = np.cumsum(np.add.reduceat(n, np.flatnonzero(fresh))).tolist()
+            for key, a, b in zip(keys[at][fresh].tolist(), [0, *upto], upto):
+                if a < b:
+                    i, step = key >> 40, int(2 * self.budgets[0][key >> 40] + 1)
+                    first = ((key & (1 << 40) - 1) - 1) * step - shift
+                    yield i, int(self.sizes[kind][i]), int(self.budgets[kind][i]), chosen[a:b].tolist(), first, first + 2 * step
 
     def _all(self) -> Iterator[tuple[int, int, int, int]]:
         """(item, size, start, edit budget) of every window."""
@@ -260,18 +321,42 @@ class Windows:
             more, less = (low | ~(down | up)) & every, up & down & every
         return False
 
-    def possible(self, item: int, size: int, e: int, ats: list[int], codes: np.ndarray, first: int, end: int) -> list[int]:
-        """The starts without those of neighbouring windows whose common part already takes too many edits."""
-        out, k = [], 0
-        while k < len(ats):
-            upto = bisect_right(ats, ats[k] + size // 3)
-            low, high = ats[upto - 1], ats[k] + size
-            region = codes[max(0, first + low - e) : max(0, end + high + e)]
-            common = self.codes[item][low:high]
-            if upto - k == 1 or self.occurs((item, high - low, low), common, e, region.tolist()):
-                out += ats[k:upto]
-            k = upto
-        return out
+    def possible(self, bands: Iterable[tuple[int, int, int, list[int], int, int]], codes: np.ndarray) -> Iterator[tuple[int, int, int, list[int], int, int]]:
+        """The bands without the starts of neighbouring windows whose common part already takes too many edits."""
+        for some in batched(bands, BLOCK):
+            groups = []
+            for n, (item, size, e, ats, first, end) in enumerate(some):
+                k = 0
+                while k < len(ats):
+                    upto = bisect_right(ats, ats[k] + size // 3)
+                    groups.append((n, k, upto, item, ats[upto - 1], ats[k] + size, e, first, end))
+                    k = upto
+            kept: list[list[int]] = [[] for _ in some]
+            for at in range(0, len(groups), BLOCK):
+                block = groups[at : at + BLOCK]
+                for (n, k, upto, item, low, high, e, first, end), ok in zip(block, self._likely(block, codes)):
+                    if not ok:
+                        continue
+                    region = codes[max(0, first + low - e) : max(0, end + high + e)]
+                    if upto - k == 1 or self.occurs((item, high - low, low), self.codes[item][low:high], e, region.tolist()):
+                        kept[n] += some[n][3][k:upto]
+            for (item, size, e, _, first, end), ats in zip(some, kept):
+                if ats:
+                    yield item, size, e, ats, first, end
+
+    def _likely(self, groups: list[tuple[int, ...]], codes: np.ndarray) -> list[bool]:
+        """Whether the first 64 characters, at most, of each group's common part occur on its diagonals."""
+        _, _, _, item, low, high, e, first, end = np.array(groups, "i8").T
+        letters, begins = self.together
+        sizes = np.minimum(high - low, 64)
+        begin, of = begins[item] + low, np.arange(64)
+        at = np.where(of < sizes[:, None], begin[:, None] + of, 0)
+        # places beyond the texts hold no character
+        begin, length = first + low - e, end - first + sizes + 2 * e
+        places = begin[:, None] + np.arange(length.max())
+        inside = (places >= 0) & (places < len(codes)) & (places < (begin + length)[:, None])
+        regions = np.where(inside, codes[np.where(inside, places, 0)], np.uint32(0xFFFFFFFF))
+        return within(letters[at], sizes, e, regions).tolist()
 
     def align(self, w: tuple[int, int, int], e: int, codes: np.ndarray, first: int, end: int) -> tuple[int, int, int] | None:
         """(start, end, edits) of the best place of the window w, an (item, size, start), on the diagonals first to end, or None beyond its budget."""
@@ -306,17 +391,16 @@ class Windows:
 
     def search(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """Per text, (item, start, end, edits) in characters of the text, one for each item that occurs."""
-        plains = [plain(t) if t else "" for t in texts]
-        out = self._search(texts, plains)
+        codes, starts = plains(texts)
+        out = self._search(texts, codes, starts)
         if self.small:
-            out = [a + b for a, b in zip(out, self.small._search(texts, plains))]
+            out = [a + b for a, b in zip(out, self.small._search(texts, codes, starts))]
         if self.phrases:
-            out = [a + [(item, *_source(t, start, end), 0) for item, start, end in self.phrases.search(p)] for a, t, p in zip(out, texts, plains)]
+            short = [[(item, *_source(t, a, b), 0) for item, a, b in self.phrases.search(plain(t))] if t else [] for t in texts]
+            out = [a + b for a, b in zip(out, short)]
         return out
 
-    def _search(self, texts: list[str], plains: list[str]) -> list[list[tuple[int, int, int, int]]]:
-        starts = np.cumsum([0, *[len(p) + 1 for p in plains]])
-        codes = _codes("\0".join([*plains, ""]))
+    def _search(self, texts: list[str], codes: np.ndarray, starts: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
         found: list[dict[int, list[int]]] = [{} for _ in texts]
         done: dict[tuple[int, int, int, int], int] = {}
 
@@ -336,8 +420,8 @@ class Windows:
                 i += 1
             return any_
 
-        for item, size, e, ats, first, end in self.bands(codes):
-            k, ats = 0, self.possible(item, size, e, ats, codes, first, end)
+        for item, size, e, ats, first, end in self.possible(self.bands(codes), codes):
+            k = 0
             while k < len(ats):
                 if not place(item, size, e, ats[k], first + ats[k], end + ats[k]):
                     k += 1
